@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from mktstream.llm.bpe import encode_decode
 from mktstream.llm.common import table
+from mktstream.llm.decontam import contaminations
 from mktstream.llm.exact_dedup import exact_dedup
+from mktstream.llm.langid import held_out, identify, train
 from mktstream.llm.license_scan import license_scan
 from mktstream.llm.line_dedup import line_dedup
+from mktstream.llm.pii import pii_surrogates
+from mktstream.llm.quality import quality
+from mktstream.llm.token_counts import token_counts
+
+
+#: The queries' key; a real run passes a secret one of its own.
+PII_KEY = b"key of the registered query"
 
 
 def byte_bpe_path() -> str:
@@ -37,8 +46,29 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs.where(~held_out("doc_id"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_line_dedup, op5_license_scan)}
+    return {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_line_dedup, op5_license_scan, op6_quality, op7_token_counts, op8_decontamination, op9_pii_surrogates, op10_language_id)}
 
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
