@@ -14,6 +14,7 @@ from mktstream.llm.exact_dedup import exact_dedup
 from mktstream.llm.langid import held_out, identify, train
 from mktstream.llm.license_scan import license_scan
 from mktstream.llm.line_dedup import line_dedup
+from mktstream.llm.ngram_join import Rule, similar
 from mktstream.llm.pii import pii_surrogates
 from mktstream.llm.quality import quality
 from mktstream.llm.token_counts import token_counts
@@ -29,6 +30,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(table(spark, sf_dir, "documents"), Rule(words=4, num=85, den=100))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -68,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_line_dedup, op5_license_scan, op6_quality, op7_token_counts, op8_decontamination, op9_pii_surrogates, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_exact_dedup, op4_line_dedup, op5_license_scan, op6_quality, op7_token_counts, op8_decontamination, op9_pii_surrogates, op10_language_id)}
 
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
