@@ -12,6 +12,7 @@ import json
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -142,26 +143,44 @@ class ByteBpe(dict):
 def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
     """Encode every text and decode the ids again.
 
-    Returns id_col, n_tokens, and with digests ids_sha256 and decoded_sha256, else ids (array of int) and
-    decoded. A null text counts as empty: no ids. Repeated rows are encoded each; other columns aren't read,
-    so clashing names do no harm. There is no shuffle, and a lost task is redone from its input alone.
+    Returns id_col and n_tokens, and with digests ids_sha256 and decoded_sha256, else ids (array of int) and
+    round_trip (whether the decoded text is the text). A null text counts as empty: no ids. Repeated rows are
+    encoded each; other columns aren't read, so clashing names do no harm. There is no shuffle, and a lost
+    task is redone from its input alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    ends = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-
-    names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+    names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "round_trip"))]
+    ends = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, round_trip boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(vocab)
         for batch in batches:
-            counts, ids, texts = [], [], []
+            encoded, checks = [], []
             for value in batch.column(1):
-                data = bpe.encode(value.as_py() or "")
-                text = bpe.decode(data)
-                counts.append(len(data) // 4)
-                ids.append(hashlib.sha256(data).hexdigest() if digests else memoryview(data).cast("I").tolist())
-                texts.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                text = value.as_py() or ""
+                data = bpe.encode(text)
+                decoded = bpe.decode(data)
+                encoded.append(data)
+                checks.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded == text)
+            counts = pa.array([len(data) // 4 for data in encoded], pa.int64())
+            if digests:
+                ids = pa.array([hashlib.sha256(data).hexdigest() for data in encoded], pa.string())
+            else:
+                ends_at = np.cumsum([0, *(len(data) // 4 for data in encoded)])
+                ids = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, pa.array(checks, pa.string() if digests else pa.bool_())], names)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, {ends}")
+
+
+def decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id_col and text, decoded from an array of ids; null ids give a null text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.load(vocab)
+        for batch in batches:
+            texts = [None if v is None else bpe.decode(np.array(v, "<i4").tobytes()) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+
+    return docs.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")

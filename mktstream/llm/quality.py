@@ -7,6 +7,7 @@ import operator
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,12 @@ _DIGITS = b"0123456789"
 _CAPITALS = bytes(range(0x41, 0x5B))
 BINS = 12
 N_FEATURES = 9
-SMOOTHING = 1.0
-#: Features aren't independent; their joint evidence counts this much.
-EVIDENCE = 0.8
+#: The classifier is fitted on about so many labelled rows at most, drawn by hash.
+SAMPLE = 50_000
+RIDGE = 1.0
+NEWTON_STEPS = 25
 #: A document stays from this posterior on.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
 
 
@@ -86,26 +88,52 @@ def _logit(p: float) -> float:
 
 
 def evidence(bins: Column, log_odds: list[list[float]]) -> Column:
-    """Weighted log-likelihood ratio of the features."""
+    """The log-likelihood ratio of the features."""
     parts = [F.element_at(F.array(*[F.lit(x) for x in row]), bins[i] + 1) for i, row in enumerate(log_odds)]
-    return F.lit(EVIDENCE) * sum(parts[1:], parts[0])
+    return sum(parts[1:], parts[0])
 
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def likelihoods(bins: DataFrame, labels: DataFrame, id_col: str) -> tuple[list[list[float]], float]:
-    """Log-odds of each bin of each feature, and the smoothed share of good documents, from all labelled rows."""
+def logistic(bins: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on one indicator for each bin, by Newton's method: weights and intercept."""
+    x = np.zeros((len(bins), N_FEATURES * BINS + 1))
+    x[np.arange(len(bins))[:, None], np.arange(N_FEATURES) * BINS + bins] = 1.0
+    x[:, -1] = 1.0
+    w = np.zeros(x.shape[1])
+    ridge = np.full(len(w), RIDGE)
+    ridge[-1] = 1e-6
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(ridge), x.T @ (good - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w[:-1].reshape(N_FEATURES, BINS), float(w[-1])
+
+
+def classifier(bins: DataFrame, labels: DataFrame, id_col: str) -> tuple[list[list[float]], float]:
+    """Log-likelihood ratios by feature and bin, and the share of good ones among all labelled rows.
+
+    Weights come from a sample of SAMPLE rows or so; the odds of the classes, which the weights hold too, are
+    taken out of them.
+    """
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q"))
     rows = bins.join(known, F.col(id_col) == F.col("__id"))
-    each = rows.select("__q", F.posexplode("__bins").alias("f", "b")).groupBy("__q", "f", "b").count().collect()  # at most 2 * N_FEATURES * BINS rows
-    counts = [[[SMOOTHING] * BINS for _ in range(N_FEATURES)] for _ in (0, 1)]
-    for r in each:
-        counts[r["__q"]][r["f"]][r["b"]] += r["count"]
-    bad, good = (sum(counts[q][0]) for q in (0, 1))
-    odds = [[math.log(counts[1][f][b] / good) - math.log(counts[0][f][b] / bad) for b in range(BINS)] for f in range(N_FEATURES)]
-    return odds, good / (good + bad)
+    count = {r["__q"]: r["count"] for r in rows.groupBy("__q").count().collect()}
+    bad, good = count.get(0, 0), count.get(1, 0)
+    prior = (good + 1) / (good + bad + 2)
+    if not bad or not good:
+        return [[0.0] * BINS] * N_FEATURES, prior
+    drawn = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(SAMPLE / (good + bad) * 1_000_000)).select("__bins", "__q").collect()
+    y = np.array([r["__q"] for r in drawn], float)
+    if not 0 < y.sum() < len(y):
+        return [[0.0] * BINS] * N_FEATURES, prior
+    weights, intercept = logistic(np.array([r["__bins"] for r in drawn]), y)
+    base = (intercept - _logit(y.mean())) / N_FEATURES
+    return [[float(v) + base for v in row] for row in weights], prior
 
 
 def strength(sites: DataFrame, rate: Column) -> float:
@@ -131,10 +159,10 @@ def host_key(column: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> Sites:
-    """Likelihoods from the labelled rows; sums over all rows of docs for hosts and for paths below them."""
+    """The classifier from labelled rows; sums over all rows of docs for hosts and for paths below them."""
     bins = with_bins(docs.select(id_col, text_col, host_col, path_col), text_col, [id_col, host_col, path_col])
     bins = written(bins, "quality-bins")
-    log_odds, prior = likelihoods(bins, labels, id_col)
+    log_odds, prior = classifier(bins, labels, id_col)
     p = sigmoid(evidence(F.col("__bins"), log_odds) + F.lit(_logit(prior)))
     path = bins.groupBy(host_key(host_col).alias("__host"), host_key(path_col).alias("__path")).agg(F.sum(p).alias("k"), F.count(F.lit(1)).alias("n"))
     path = written(path, "quality-path")
