@@ -47,6 +47,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A table with fewer rows, each of some fixed small width, may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_below(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, with a broadcast hint if its row count is below the bound."""
+    return F.broadcast(df) if df.count() < rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, other characters as they are; texts that are all ASCII take the quick way."""
     plain = F.octet_length(text) == F.length(text)

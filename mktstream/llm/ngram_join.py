@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by signature trees.
 
 Every linked pair must share one of the rarest shingles of either text (prefix filter, order by a count
-sketch of all shingles). Sets that share such a shingle, directly or through others, form a block; inside a
-block a signature tree finds the links. Its nodes hold OR-combined bitmaps and size ranges, and a traversal
-of two trees drops pairs of nodes by the largest overlap that they could have.
+sketch of all shingles). Signature trees are used twice. Over the sets that share such a shingle, a tree of
+their bitmaps finds the pairs that may link; pairs that are connected form a block. Inside a block a tree
+finds the links themselves. A tree's nodes hold OR-combined bitmaps and size ranges, and a traversal of two
+trees drops pairs of nodes by the largest overlap that they could have.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mktstream.llm.common import written
+from mktstream.llm.common import broadcast_below, written
 from mktstream.llm.graph import components
 from mktstream.llm.vectors import summed
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 FAN_OUT = 8
+#: A set's bitmap has twice as many bits as elements, between these.
+LEAST_BITS, MOST_BITS = 256, 1 << 15
 #: A block with more sets is dealt out in chunks of about so many.
 CHUNK = 512
+#: Up to so many sets are compared one by one rather than by a tree, and so many tested pairs are remembered.
+FEW, TESTED = 4, 300_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -63,8 +68,22 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
+def bits_for(n: int) -> int:
+    bits = LEAST_BITS
+    while bits < 2 * n and bits < MOST_BITS:
+        bits *= 2
+    return bits
+
+
+def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each element by its low bits; halves laid over each other give the bitmap of half the bits."""
+    flags = np.zeros(bits, np.uint8)
+    flags[h & np.uint64(bits - 1)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
 def sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
@@ -92,58 +111,123 @@ def prefix(h: np.ndarray, counts: np.ndarray, rule: Rule) -> np.ndarray:
     p = n - rule.least_overlap(n) + 1
     if p >= n:
         return h
-    rare = counts[h >> np.uint64(64 - SKETCH_BITS)] << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+    rare = counts[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
     return h[rare <= np.partition(rare, p - 1)[p - 1]]
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (size of the set), set (128-bit hash of it), sid (its first 64 bits) and tokens (the prefix)."""
-    counts = np.minimum(counts, (1 << 31) - 1).astype(np.uint64)
+    """doc, n (size of the set), set (128-bit hash of it), sid (its first 64 bits), bits (its bitmap) and tokens (the prefix)."""
+    counts = np.minimum(counts, (1 << 31) - 1).astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, sids, tokens = [], [], [], []
+            sizes, sets, sids, maps, tokens = [], [], [], [], []
             for v in batch.column(1):
                 h = shingles(v.as_py(), rule.words)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 sizes.append(len(h))
                 sets.append(digest)
                 sids.append(int.from_bytes(digest[:8], "big", signed=True))
+                maps.append(bitmap(h, bits_for(len(h))).tobytes())
                 tokens.append(prefix(h, shared.value, rule).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sids, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sids, pa.int64()), pa.array(maps, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc", "n", "set", "sid", "tokens"]
-    fields = [T.StructField("doc", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("sid", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
+    names = ["doc", "n", "set", "sid", "bits", "tokens"]
+    fields = [T.StructField("doc", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("sid", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
-def blocks(table: DataFrame) -> DataFrame:
-    """(sid, block): sets that share a prefix shingle lie in one block; sets that share none are left out.
+def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int) -> DataFrame:
+    """(sid, block): sets that may link, directly or through others, lie in one block; others are left out.
 
-    A shingle's sets are tied to their smallest, so a shingle of many sets gives a link for each, not for
-    each pair. Smallest and largest are partial aggregates; copies of a set have one sid and merge there.
+    For each shared prefix shingle a signature tree over the bitmaps of its sets gives the pairs that may
+    link, less those that connect nothing new. A shingle of more than `limit` sets ties all its sets to the
+    smallest instead, which only makes the block larger: one row for each set, none for each pair, and
+    its smallest is a partial aggregate. Copies of a set have one sid and merge before all this.
     """
     spread = table.select(F.explode("tokens").alias("token"), "sid")
-    shared = spread.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("z"), F.count(F.lit(1)).alias("rows")).where("a < z")
-    shared = written(shared, "shared-shingles")
-    two = shared.select(F.col("z").alias("b"), "a").distinct()
-    more = spread.join(shared.where("rows > 2").select("token", "a", "z"), "token").where("sid <> a and sid <> z").select(F.col("sid").alias("b"), "a").distinct()
-    return components(two.unionAll(more)).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+    shared = spread.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z").select("token")
+    postings = written(spread.join(written(shared, "shared-shingles"), "token").distinct(), "postings")
+    tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
+    told = postings.join(tokens, "token")
+    ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
+    small = told.where(F.col("many") <= limit).join(sets.select("sid", "n", "bits"), "sid").select("token", "sid", "n", "bits")
+    pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "a bigint, b bigint")
+    return components(pairs.unionAll(ties)).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+
+
+def candidate_pairs(rule: Rule):
+    """For mapInArrow over (token, sid, n, bits) sorted by token: (a, b), sids that may link."""
+
+    def pairs(sids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
+        if len(sids) < 2:
+            return []
+        arrays = [np.frombuffer(m, np.uint64) for m in maps]
+        words = min(map(len, arrays))
+        tree = SignatureTree(list(range(len(sids))), np.stack([folded(x, words) for x in arrays]), np.array(sizes))
+        return [(sids[i], sids[j]) for i, j in traverse(tree, tree, rule, list(range(len(sids))), lambda i, j: True)]
+
+    tested: set[tuple[int, int]] = set()
+
+    def new_pairs(group: tuple[list, list, list]) -> list[tuple[int, int]]:
+        sids, sizes, maps = group
+        if len(sids) > FEW:
+            return pairs(*group)
+        out = []
+        for i in range(len(sids)):
+            for j in range(i):
+                key = (sids[i], sids[j]) if sids[i] < sids[j] else (sids[j], sids[i])
+                if key in tested:
+                    continue
+                if len(tested) >= TESTED:
+                    tested.clear()
+                tested.add(key)
+                if pair_may_link(sizes[i], maps[i], sizes[j], maps[j], rule):
+                    out.append(key)
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, group = None, ([], [], [])
+        for batch in batches:
+            out = []
+            for t, sid, n, bits in zip(*[c.to_pylist() for c in batch.columns]):
+                if t != token:
+                    if len(group[0]) > 1:
+                        out += new_pairs(group)
+                    token, group = t, ([], [], [])
+                group[0].append(sid)
+                group[1].append(n)
+                group[2].append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = new_pairs(group)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def pair_may_link(n: int, x: bytes, m: int, y: bytes, rule: Rule) -> bool:
+    """The bound of may_link for two sets of n and m elements."""
+    if n * rule.den < rule.num * m or m * rule.den < rule.num * n:
+        return False
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    wide, low = max(len(x), len(y)) * 8, min(len(x), len(y)) * 8
+    while wide > low:
+        wide //= 2
+        mask = (1 << wide) - 1
+        a, b = (a >> wide | a) & mask, (b >> wide | b) & mask
+    most = (a & b).bit_count() + min(n - a.bit_count(), m - b.bit_count())
+    return most * (rule.num + rule.den) >= rule.num * (n + m)
 
 
 class SignatureTree:
     """Sets sorted by size under nodes of FAN_OUT children, level by level from the leaves."""
 
-    def __init__(self, sets: list[np.ndarray], members: list[int], bits: int):
-        order = sorted(members, key=lambda i: (len(sets[i]), int(sets[i][0])))
-        self.leaf = order
-        maps = np.zeros((len(order), bits // 64), np.uint64)
-        for row, i in enumerate(order):
-            at = (sets[i] & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(maps[row], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        size = np.array([len(sets[i]) for i in order])
+    def __init__(self, members: list[int], maps: np.ndarray, size: np.ndarray):
+        order = np.lexsort((maps[:, 0], size))
+        self.leaf = [members[i] for i in order]
+        maps, size = maps[order], size[order].astype(np.int64)
         surplus = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, size, size, surplus)]
         while len(self.levels[-1][0]) > 1:
@@ -171,11 +255,10 @@ def may_link(a: SignatureTree, la: int, xs: np.ndarray, b: SignatureTree, lb: in
     return ok
 
 
-def tree_links(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = None, left: list[int] | None = None, right: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join all sets which are connected by linked pairs, without those that join nothing new.
+def traverse(a: SignatureTree, b: SignatureTree, rule: Rule, groups: list[int], linked) -> list[tuple[int, int]]:
+    """Pairs of leaves that may link and for which linked holds, without those that connect nothing new.
 
-    groups: sets of one number are known to be connected. With left and right only pairs across the two
-    lists are looked at. Sets must not be empty.
+    a may be b: then each pair is looked at once. groups: leaves of one number are connected already.
     """
     parent: dict[int, int] = {}
 
@@ -184,27 +267,14 @@ def tree_links(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = No
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    groups = groups or list(range(len(sets)))
-    alone = left is None
-    left = list(range(len(sets))) if alone else left
-    right = left if alone else right
-    if not left or not right:
-        return []
-    bits = 256
-    while bits < 4 * max(len(s) for s in sets) and bits < 1 << 16:
-        bits *= 2
-    a = SignatureTree(sets, left, bits)
-    b = a if alone else SignatureTree(sets, right, bits)
+    alone = a is b
     out: list[tuple[int, int]] = []
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while stack:
         la, x, lb, y = stack.pop()
         if la == 0 and lb == 0:
             i, j = a.leaf[x], b.leaf[y]
-            if i == j or root(groups[i]) == root(groups[j]):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both * rule.den >= rule.num * (len(sets[i]) + len(sets[j]) - both):
+            if i != j and root(groups[i]) != root(groups[j]) and linked(i, j):
                 parent[root(groups[i])] = root(groups[j])
                 out.append((i, j))
             continue
@@ -220,6 +290,30 @@ def tree_links(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = No
     return out
 
 
+def tree_links(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = None, left: list[int] | None = None, right: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets which are connected by linked pairs, without those that join nothing new.
+
+    groups: sets of one number are known to be connected. With left and right only pairs across the two
+    lists are looked at. Sets must not be empty.
+    """
+    groups = groups or list(range(len(sets)))
+    if not sets or left is not None and not (left and right):
+        return []
+    bits = bits_for(2 * max(map(len, sets)))
+
+    def tree(members: list[int]) -> SignatureTree:
+        return SignatureTree(members, np.stack([bitmap(sets[i], bits) for i in members]), np.array([len(sets[i]) for i in members]))
+
+    def linked(i: int, j: int) -> bool:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both * rule.den >= rule.num * (len(sets[i]) + len(sets[j]) - both)
+
+    if left is None:
+        own = tree(list(range(len(sets))))
+        return traverse(own, own, rule, groups, linked)
+    return traverse(tree(left), tree(right), rule, groups, linked)
+
+
 def grouped_links(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     """Links (a, b) inside each group of rows of equal keys.
 
@@ -284,8 +378,8 @@ def similar(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     counts = sketch(rows.select("text"), rule)
     table = written(signatures(rows, counts, rule, "doc", "text"), "signatures")
     named = table.where("doc is not null and n > 0")
-    sets = written(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc")), "sets")
-    block = written(blocks(named), "blocks")
+    sets = written(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets")
+    block = written(blocks(named, sets, rule, chunk), "blocks")
     ratio = math.log(rule.den / rule.num)
     step = F.floor(F.ln("n") / F.lit(ratio)).cast("int")
     members = sets.join(block, "sid").select("set", "doc", "block", step.alias("class"))
@@ -300,7 +394,7 @@ def similar(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     texts = rows.where("doc is not null")
 
     def told(parts: DataFrame, comp: str, keys: list[str], side: int = 0) -> DataFrame:
-        return parts.join(texts, "doc").select(*keys, "doc", "text", "set", F.col(comp).alias("comp"), F.lit(side).alias("side"))
+        return texts.join(broadcast_below(parts), "doc").select(*keys, "doc", "text", "set", F.col(comp).alias("comp"), F.lit(side).alias("side"))
 
     links = written(grouped_links(told(members, "doc", ["block", "band", "part"]), ["block", "band", "part"], rule), "links")
     large = members.where("band >= 0")
@@ -324,6 +418,7 @@ def large_links(large: DataFrame, links: DataFrame, told, rule: Rule, chunk: int
     heads = first.groupBy("block", "band", "part", "comp").agg(F.min(F.struct("doc", "set")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
     spread = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
     heads = heads.join(spread, "block").select("block", F.col("h.doc").alias("doc"), F.col("h.set").alias("set"), "comp", F.pmod(F.xxhash64("h.set"), "parts").alias("part"))
+    heads = written(heads, "heads")
     joined = written(grouped_links(told(heads, "comp", ["block", "part"]), ["block", "part"], rule), "links")
 
     now = written(with_component(links.unionAll(joined)), "large")
@@ -338,8 +433,8 @@ def large_links(large: DataFrame, links: DataFrame, told, rule: Rule, chunk: int
     # Sets that link lie at most one class apart, two with what rounding may add.
     tasks = written(here.join(there, "block").where("abs(band - rest_band) <= 2"), "tasks")
     keys = ["block", "band", "part", "rest_band", "rest_part"]
-    left = told(now.join(tasks, ["block", "band", "part"]), "comp", keys, 1)
-    right = told(rest.join(tasks, ["block", "rest_band", "rest_part"]), "comp", keys, 2)
+    left = told(written(now.join(tasks, ["block", "band", "part"]), "left"), "comp", keys, 1)
+    right = told(written(rest.join(tasks, ["block", "rest_band", "rest_part"]), "right"), "comp", keys, 2)
     return joined.unionAll(grouped_links(left.unionAll(right), keys, rule))
 
 

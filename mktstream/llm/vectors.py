@@ -14,8 +14,8 @@ MERGERS = 8
 def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
     """The sum over all rows of df of a vector of size counters, which count adds to batch by batch.
 
-    Each task sends one vector. MERGERS tasks add these up as they stream in, whatever their number, and
-    the driver gets MERGERS vectors: its share depends on size alone.
+    Each task sends one vector. MERGERS tasks add these up as they stream in, whatever their number, one
+    task adds up theirs, and the driver gets one vector: its share depends on size alone.
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,5 +31,6 @@ def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray
                 total += np.frombuffer(v.as_buffer(), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    parts = df.mapInArrow(partial, "v binary").repartition(MERGERS).mapInArrow(merged, "v binary").collect()
-    return sum((np.frombuffer(p.v, dtype=np.int64) for p in parts), np.zeros(size, dtype=np.int64))
+    parts = df.mapInArrow(partial, "v binary").repartition(MERGERS).mapInArrow(merged, "v binary")
+    whole = parts.repartition(1).mapInArrow(merged, "v binary").first()
+    return np.frombuffer(whole.v, dtype=np.int64) if whole else np.zeros(size, dtype=np.int64)
