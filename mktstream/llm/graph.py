@@ -22,7 +22,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = written(_stars(_stars(edges, large=True), large=False), "edges")
+        edges = written(_stars(_stars(edges, large=True), large=False).distinct(), "edges")
     else:
         raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -32,6 +32,7 @@ LEAST_BITS, MOST_BITS = 256, 1 << 15
 CHUNK = 512
 #: Up to so many sets are compared one by one rather than by a tree, and so many tested pairs are remembered.
 FEW, TESTED = 4, 300_000
+FILTER_BITS = 24
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -139,23 +140,76 @@ def signatures(docs: DataFrame, counts: np.ndarray, rule: Rule, id_col: str, tex
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
+def token_filter(tokens: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits, set for the tokens of the one column: false positives are possible, misses are not."""
+
+    def mark(batch: pa.RecordBatch, words: np.ndarray) -> None:
+        at = filter_bits(np.asarray(batch.column(0)))
+        np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
+
+    return summed(tokens, 1 << (FILTER_BITS - 6), mark, np.bitwise_or)
+
+
+def filter_bits(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.int64(20)) & np.int64((1 << FILTER_BITS) - 1)
+
+
+def spread_where(table: DataFrame, words: np.ndarray) -> DataFrame:
+    """(token, sid, n) of the prefix tokens that pass the filter."""
+    shared = table.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = np.asarray(lists.flatten())
+            row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
+            at = filter_bits(tokens)
+            stay = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+            place = pa.array(row[stay])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[stay]), batch.column(0).take(place), batch.column(1).take(place)], ["token", "sid", "n"])
+
+    return table.select("sid", "n", "tokens").mapInArrow(run, "token bigint, sid bigint, n bigint")
+
+
 def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int) -> DataFrame:
     """(sid, block): sets that may link, directly or through others, lie in one block; others are left out.
 
-    For each shared prefix shingle a signature tree over the bitmaps of its sets gives the pairs that may
-    link, less those that connect nothing new. A shingle of more than `limit` sets ties all its sets to the
-    smallest instead, which only makes the block larger: one row for each set, none for each pair, and
-    its smallest is a partial aggregate. Copies of a set have one sid and merge before all this.
+    A prefix shingle of two sets is a pair at once. For one of more, a signature tree over the bitmaps of its
+    sets gives the pairs that may link, less those that connect nothing new. One of more than `limit` sets
+    ties all its sets to the smallest instead, which only makes the block larger: one row for each set,
+    none for each pair. Smallest and largest are partial aggregates, and copies of a set have one sid, so a
+    hot shingle comes to its task as a row from each task before. Rows of shingles of one or two sets don't
+    travel again: a bit filter of fixed size leaves them out before the second shuffle.
     """
-    spread = table.select(F.explode("tokens").alias("token"), "sid")
-    shared = spread.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z").select("token")
-    postings = written(spread.join(written(shared, "shared-shingles"), "token").distinct(), "postings")
+    spread = table.select(F.explode("tokens").alias("token"), F.struct("sid", "n").alias("s"))
+    shared = spread.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("z"), F.count(F.lit(1)).alias("rows")).where("a.sid < z.sid")
+    shared = written(shared, "shared-shingles")
+    fits = (F.col("n") * rule.den >= F.col("m") * rule.num) & (F.col("m") * rule.den >= F.col("n") * rule.num)
+    two = shared.where("rows = 2").select("a.sid", "a.n", F.col("z.sid").alias("tid"), F.col("z.n").alias("m")).where(fits).select("sid", "tid").distinct()
+    bits = sets.select("sid", "n", "bits")
+    other = bits.toDF("tid", "m", "other")
+    direct = two.join(bits, "sid").join(other, "tid").select("sid", "n", "bits", "tid", "m", "other").mapInArrow(direct_pairs(rule), "a bigint, b bigint")
+
+    more = shared.where("rows > 2").select("token")
+    postings = written(spread_where(table, token_filter(more)).join(more, "token").distinct(), "postings")
     tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
     told = postings.join(tokens, "token")
     ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
-    small = told.where(F.col("many") <= limit).join(sets.select("sid", "n", "bits"), "sid").select("token", "sid", "n", "bits")
+    small = told.where(F.col("many") <= limit).join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
     pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "a bigint, b bigint")
-    return components(pairs.unionAll(ties)).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+    return components(pairs.unionAll(ties).unionAll(direct)).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+
+
+def direct_pairs(rule: Rule):
+    """For mapInArrow over pairs of (sid, n, bits): those that may link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[c.to_pylist() for c in batch.columns])
+            out = [(s, t) for s, n, x, t, m, y in rows if pair_may_link(n, x, m, y, rule)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def candidate_pairs(rule: Rule):

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 MERGERS = 8
 
 
-def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """The sum over all rows of df of a vector of size counters, which count adds to batch by batch.
+def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None], add=np.add) -> np.ndarray:
+    """The sum (or what add makes of two) over all rows of df of a vector of size counters, which count changes batch by batch.
 
     Each task sends one vector. MERGERS tasks add these up as they stream in, whatever their number, one
     task adds up theirs, and the driver gets one vector: its share depends on size alone.
@@ -28,9 +28,9 @@ def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for v in batch.column(0):
-                total += np.frombuffer(v.as_buffer(), dtype=np.int64)
+                add(total, np.frombuffer(v.as_buffer(), dtype=np.int64), out=total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     parts = df.mapInArrow(partial, "v binary").repartition(MERGERS).mapInArrow(merged, "v binary")
-    whole = parts.repartition(1).mapInArrow(merged, "v binary").first()
-    return np.frombuffer(whole.v, dtype=np.int64) if whole else np.zeros(size, dtype=np.int64)
+    whole = parts.repartition(1).mapInArrow(merged, "v binary").collect()
+    return np.frombuffer(whole[0].v, dtype=np.int64)
