@@ -198,7 +198,7 @@ LAYOUTS = {
         underlying_id:u32 raw_instrument_id:u32 market_depth_implied:i32 market_depth:i32 market_segment_id:u32 max_trade_vol:u32 min_lot_size:i32
         min_lot_size_block:i32 min_lot_size_round_lot:i32 min_trade_vol:u32 contract_multiplier:i32 decay_quantity:i32 original_contract_size:i32
         trading_reference_date:u16 appl_id:i16 maturity_year:u16 decay_start_date:u16 channel_id:u16 currency:s4 settl_currency:s4 secsubtype:s6
-        raw_symbol:s71 group:s21 exchange:s5 asset:[c; 11_V2] cfi:s7 security_type:s7 unit_of_measure:s31 underlying:s21 strike_price_currency:s4
+        raw_symbol:s71 group:s21 exchange:s5 asset:s7 cfi:s7 security_type:s7 unit_of_measure:s31 underlying:s21 strike_price_currency:s4
         instrument_class:c match_algorithm:c md_security_trading_status:u8 main_fraction:u8 price_display_format:u8 settl_price_type:u8 sub_fraction:u8
         underlying_product:u8 security_update_action:c maturity_month:u8 maturity_day:u8 maturity_week:u8 user_defined_instrument:c
         contract_multiplier_unit:i8 flow_schedule_type:i8 tick_rule:u8 _reserved:x10
