@@ -202,42 +202,45 @@ def merge(parts: list[Metadata]) -> Metadata:
 
 
 def merge_intervals(left: list[Interval], right: list[Interval]) -> list[Interval]:
-    """Two sorted lists as one, pairs that touch or overlap under one symbol joined; another symbol there is an error.
+    """Two sorted lists as one, intervals that overlap under one symbol joined; another symbol there is an error.
 
     Only the heads of the two lists are compared: what two heads join to isn't compared with what follows.
     """
     out, i, j = [], 0, 0
     while i < len(left) and j < len(right):
         (a, b, s), (c, d, t) = left[i], right[j]
-        if s == t and a <= d and c <= b:
-            out.append((min(a, c), max(b, d), s))
-            i, j = i + 1, j + 1
-        elif b <= c:
+        if (a, b) != (c, d) and b <= c:
             out.append(left[i])
             i += 1
-        elif d <= a:
+        elif (a, b) != (c, d) and d <= a:
             out.append(right[j])
             j += 1
+        elif s == t:
+            out.append((min(a, c), max(b, d), s))
+            i, j = i + 1, j + 1
         else:
             raise FormatError(f"{s} and {t} at once")
     return out + left[i:] + right[j:]
 
 
 def split_by_time(meta: Metadata, first: date, after: date) -> Metadata:
-    """The metadata of one part of a split: [first, after), intervals clipped, unused symbols gone; not_found stays."""
+    """The metadata of one part of a split: clamped to [first, after), intervals clipped, unused symbols gone; not_found stays."""
     ns = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=timezone.utc).timestamp()) * 10**9
+    start, end = max(meta.start, ns(first)), min(V.UNDEF_TIMESTAMP if meta.end is None else meta.end, ns(after))
+    low, high = ns_date(start), ns_date(end + 86400 * 10**9 - 1)
     mappings = {}
     for raw, spans in meta.mappings.items():
-        kept = [(max(a, first), min(b, after), s) for a, b, s in spans if a < after and b > first]
+        clipped = [(max(a, low), min(b, high), s) for a, b, s in spans]
+        kept = [(a, b, s) for a, b, s in clipped if a < high and b > low]
         if kept:
             mappings[raw] = kept
-    start, end = max(meta.start, ns(first)), min(V.UNDEF_TIMESTAMP if meta.end is None else meta.end, ns(after))
     return replace(meta, start=start, end=end, mappings=mappings, symbols=tuple(s for s in meta.symbols if s in mappings), partial=tuple(s for s in meta.partial if s in mappings))
 
 
 def split_by_symbol(meta: Metadata, symbol: str) -> Metadata:
+    """Only what belongs to the symbol as a raw symbol; of inverse metadata no mapping stays. not_found stays."""
     only = lambda names: tuple(s for s in names if s == symbol)
-    return replace(meta, symbols=only(meta.symbols), partial=only(meta.partial), not_found=only(meta.not_found), mappings={r: s for r, s in meta.mappings.items() if r == symbol})
+    return replace(meta, symbols=only(meta.symbols), partial=only(meta.partial), mappings={r: s for r, s in meta.mappings.items() if r == symbol})
 
 
 def split_by_schema(meta: Metadata, schema: str | None) -> Metadata:

@@ -221,4 +221,6 @@ class BinarySource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make mktbin known to the session, with filters handed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BinarySource)
