@@ -14,6 +14,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -84,7 +85,7 @@ def exact_dedup(spark: SparkSession, path: str, state: str | None = None, id_col
     seen = written(update_state(spark, path, state or fresh_path(spark, "exact-state"), id_col, text_col, digest), "exact-seen")
     rows = keyed(spark.read.parquet(path), id_col, text_col, digest)
     shared = seen.where("n > 1")
-    hits = rows.join(shared, "digest").select("digest", "at", "id", "norm", F.col("keep.at").alias("keep_at"))
+    hits = written(rows.join(shared, "digest").select("digest", "at", "id", "norm", F.col("keep.at").alias("keep_at")), "exact-hits")
     stays = hits.where(F.col("at") == F.col("keep_at")).select("digest", F.col("norm").alias("keep_norm"))
     differs = hits.join(stays, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest", "norm", "id", "at")
     differs = written(differs, "exact-differs")
