@@ -14,10 +14,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (large: the larger ones, else the smaller ones and itself) tied to its smallest one.
 
     The smallest is found by an aggregation that combines before the shuffle, and comes back by a join that
-    Spark can split where a node has very many neighbours.
+    Spark can split where a node has very many neighbours. That join isn't a broadcast one, so that rounds
+    leave nothing in the driver.
     """
     pairs = edges.unionAll(edges.select("v", "u")).toDF("u", "v") if large else edges
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).hint("merge")
     if large:
         out = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
