@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from mktstream.llm.bpe import ByteBpe
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _loaded: dict[str, "PieceCounter"] = {}
 
 
