@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 NONE = 1 << 30
 _loaded: dict[str, "ByteBpe"] = {}
 

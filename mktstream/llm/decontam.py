@@ -17,7 +17,7 @@ SPAN = 10
 MIN_WORDS = 13
 MIN_SHARE = 0.8
 BLOCK_WORDS = 2_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 FILTER_BITS = 22
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
