@@ -34,10 +34,15 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteBpe(dict):
-    """A tokenizer read from a tokenizers JSON file; as a dict it keeps the encoded pre-tokens, at most CACHE_WORDS."""
+    """A tokenizer read from a tokenizers JSON file; as a dict it keeps encoded pre-tokens.
+
+    At most CACHE_WORDS are in the dict and as many in `older`, what the dict held when it was full last. A
+    pre-token that is met again moves back from there, so frequent ones outlive the many that occur once.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -72,9 +77,12 @@ class ByteBpe(dict):
         return _loaded[path]
 
     def __missing__(self, word: str) -> bytes:
-        data = b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())])
+        data = self.older.get(word)
+        if data is None:
+            data = b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())])
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = data
         return data
