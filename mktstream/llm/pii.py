@@ -5,6 +5,7 @@ from __future__ import annotations
 import hmac
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -175,9 +176,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     rank = {k: i for i, k in enumerate(PATTERNS)}
     taken: list[tuple[int, int, str, str]] = []
     for e in sorted(found, key=lambda e: (rank[e[2]], e[0])):
-        if all(e[1] <= t[0] or e[0] >= t[1] for t in taken):
-            taken.append(e)
-    return sorted(taken)
+        i = bisect(taken, e)
+        if (not i or taken[i - 1][1] <= e[0]) and (i == len(taken) or taken[i][0] >= e[1]):
+            taken.insert(i, e)
+    return taken
 
 
 def scrub(text: str, surrogates: Surrogates, cached: Callable | None = None) -> tuple[str, list[str]]:
