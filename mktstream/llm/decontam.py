@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-#: 1: the word counts, 0: any word may stand there.
-MASKS = ("1101101011", "1110010111", "1011110011")
-SPAN = 10
+#: 1: the word counts, 0: any word may stand there. Every overlap of MIN_WORDS words or more with MIN_SHARE equal
+#: holds one of these, wherever its other words stand.
+MASKS = ("1111011", "110100010011", "110101011", "1110111")
 MIN_WORDS = 13
 MIN_SHARE = 0.8
 BLOCK_WORDS = 2_000_000
+CHUNK_WORDS = 16_384
 CACHE_WORDS = 100_000
 FILTER_BITS = 22
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -57,19 +59,35 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-class Benchmark:
-    """The seeds of a block of benchmark items, sorted, with a bit filter in front.
+def least_equal(n: int) -> int:
+    """How many of n words must be equal."""
+    return next(k for k in range(n + 1) if k >= MIN_SHARE * n - 1e-9)
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks of which each overlap with an item of n words holds one.
 
-    Items with fewer words than a mask spans are looked up as one seed of all their words.
+    An item under MIN_WORDS of which m words may differ is cut into m + 2 parts: two of them stay equal.
     """
+    if n >= MIN_WORDS or not n:
+        return MASKS if n else ()
+    m = n - least_equal(n)
+    if not m:
+        return ("1" * n,)
+    cuts = [n * i // (m + 2) for i in range(m + 3)]
+    return tuple("".join("1" if k in (i, j) else "0" for k in range(m + 2) for _ in range(cuts[k], cuts[k + 1])) for i, j in combinations(range(m + 2), 2))
+
+
+class Benchmark:
+    """The seeds of a block of benchmark items, sorted, with a bit filter in front."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(text) for _, text in items]
         keys, item, at, which = [], [], [], []
-        self.masks = sorted({*MASKS, *("1" * len(w) for w in self.words if 0 < len(w) < SPAN)})
+        self.masks = sorted({m for n in {len(w) for w in self.words} for m in masks_of(n)})
         for t, w in enumerate(self.words):
-            for m in MASKS if len(w) >= SPAN else ["1" * len(w)] if len(w) else []:
+            for m in masks_of(len(w)):
                 s = seeds(w, m)
                 keys.append(s)
                 item.append(np.full(len(s), t))
@@ -86,33 +104,60 @@ class Benchmark:
             bits[k >> np.uint64(64 - FILTER_BITS)] = True
             self.tables.append((k, item[own][order], at[own][order], bits))
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of the item's first word) of every seed that a text shares with an item."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows of text, item and place of the item's first word in the text, one of all seeds that texts share with items.
+
+        h has the words of all texts, each from its start on. A seed over the end of a text only proposes in vain.
+        """
+        found = [np.zeros((0, 3), np.int64)]
         for mask, (keys, item, at, bits) in zip(self.masks, self.tables):
             s = seeds(h, mask)
             places = np.flatnonzero(bits[s >> np.uint64(64 - FILTER_BITS)])
             if not len(places):
                 continue
             lo, hi = np.searchsorted(keys, s[places], "left"), np.searchsorted(keys, s[places], "right")
-            for p, a, b in zip(places[hi > lo], lo[hi > lo], hi[hi > lo]):
-                found.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist()))
-        return found
-
-    def overlaps(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """item -> (place, words, equal words) of its longest overlap with the text that passes."""
-        h = word_hashes(text)
-        best: dict[int, tuple[int, int, int]] = {}
-        if not len(h):
+            n = hi - lo
+            seed = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat(places, n)
+            text = np.searchsorted(starts, place, "right") - 1
+            found.append(np.unique(np.stack([text, item[seed], place - starts[text] - at[seed]], 1), axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def overlaps(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text item -> (place, words, equal words) of its longest overlap with it that passes."""
+        hs = [word_hashes(text) for text in texts]
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        if not any(map(len, hs)):
             return best
-        for t, first in sorted(self.hits(h)):
-            w = self.words[t]
+        starts = np.cumsum([0, *map(len, hs[:-1])])
+        for i, t, first in self.hits(np.concatenate(hs), starts).tolist():
+            h, w, mine = hs[i], self.words[t], best[i]
             a, b = max(0, -first), min(len(w), len(h) - first)
-            start, n, same = longest(h[first + a : first + b] == w[a:b])
-            if n >= min(MIN_WORDS, len(w)) and (t not in best or (n, same) > best[t][1:]):
-                best[t] = (first + a + start, n, same)
+            if b - a < min(MIN_WORDS, len(w)):
+                continue
+            same = h[first + a : first + b] == w[a:b]
+            if len(w) < MIN_WORDS:
+                start, n, equal = 0, len(w), int(same.sum())
+                passes = equal >= least_equal(n)
+            else:
+                start, n, equal = longest(same)
+                passes = n >= MIN_WORDS
+            if passes and (t not in mine or (n, equal) > mine[t][1:]):
+                mine[t] = (first + a + start, n, equal)
         return best
 
+    def overlaps_of(self, column: pa.Array) -> Iterator[dict[int, tuple[int, int, int]]]:
+        """overlaps() of a column of texts, about CHUNK_WORDS words (by spaces) at once."""
+        held, n = [], 0
+        for v in column:
+            text = v.as_py() or ""
+            held.append(text)
+            n += text.count(" ") + 1
+            if n >= CHUNK_WORDS:
+                yield from self.overlaps(held)
+                held, n = [], 0
+        yield from self.overlaps(held)
+
 
 def longest(same: np.ndarray) -> tuple[int, int, int]:
     """Start, length and number of equal places of the longest run that starts and ends equal with MIN_SHARE equal."""
@@ -151,9 +196,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """One row for each row of docs and benchmark item that it overlaps: the longest overlap.
 
     Returns id_col, item_col, first_word (of the overlap in the text, words that are only punctuation not
-    counted), n_words and n_equal. Words are compared without case and outer punctuation; a spaced seed must
-    agree, then the places around it are compared, and at least MIN_WORDS words (a shorter item: all), of
-    which MIN_SHARE are equal, make an overlap. Null and empty texts and items overlap nothing; repeated
+    counted), n_words and n_equal. Words are compared without case and outer punctuation; at least MIN_WORDS
+    words from an equal one to an equal one, of which MIN_SHARE are equal, make an overlap; of a shorter item
+    all its words are compared, of which MIN_SHARE must be equal. Spaced seeds propose all such places. Null and empty texts and items overlap nothing; repeated
     rows report each; an empty table gives no rows; further columns aren't read. Each block of the benchmark
     is one pass over docs without a shuffle.
     """
@@ -169,8 +214,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             own = shared.value
             for batch in batches:
                 at, found = [], []
-                for i, v in enumerate(batch.column(1)):
-                    for t, overlap in own.overlaps(v.as_py() or "").items():
+                for i, overlaps in enumerate(own.overlaps_of(batch.column(1))):
+                    for t, overlap in overlaps.items():
                         at.append(i)
                         found.append((own.ids[t], *overlap))
                 columns = [pa.array([f[k] for f in found], pa.int64() if k else item_type) for k in range(4)]
@@ -191,7 +236,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.overlaps(v.as_py() or "") for v in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not overlaps for overlaps in shared.value.overlaps_of(batch.column(at))], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and round trips, with odd rows of every kind."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -207,6 +208,36 @@ def test_decontamination_finds_planted_passages(spark, odd):
     assert decontam.contaminations(odd, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_decontamination_finds_every_pattern_of_substitutions(spark):
+    items, docs = [], []
+    for n, m in [*((n, n - decontam.least_equal(n)) for n in range(1, 13)), (13, 2), (14, 2), (15, 3), (16, 3), (20, 4)]:
+        words = [f"w{n}i{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for places in itertools.combinations(range(n) if n < 13 else range(1, n - 1), m):
+            docs.append((len(docs), n, " ".join(["before", *("other" if k in places else w for k, w in enumerate(words)), "after"])))
+        if n < 13:  # one more substitution is too many
+            docs.append((len(docs), None, " ".join(["before", *words[m + 1 :], "after"])))
+    got = decontam.contaminations(spark.createDataFrame(docs, "doc_id bigint, n bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, n) for d, n, _ in docs if n}
+    assert all((r.first_word, r.n_words) == (1, r.item_id) for r in got)
+
+
+def test_decontamination_masks_miss_no_overlap_of_any_length():
+    """Of all strings that no mask hits, by their last places, the best balance of 1 an equal word and -4 another one."""
+    span = max(map(len, decontam.MASKS))
+    masks = [(len(m), int(m, 2)) for m in decontam.MASKS]
+    states = np.arange(1 << span)
+    free = np.all([states & m != m for _, m in masks], axis=0)
+    best = np.full(1 << span, -(10**9))
+    best[1] = 1
+    for n in range(2, 301):
+        step = np.full(1 << span, -(10**9))
+        for bit, gain in ((0, -4), (1, 1)):
+            np.maximum.at(step, (states << 1 | bit) & ((1 << span) - 1), best + gain)
+        best = np.where(free, step, -(10**9))
+        assert n < decontam.MIN_WORDS or best[1::2].max() < 0, n
+
+
 def test_pii_surrogates(spark, odd):
     s = pii.Surrogates(b"key")
     text = "Mail anna.b.12@mail3.example.com or +1 (626) 555-5759, card 4652288524086166, 39.104.242.48; Frau Anna Huber, again anna.b.12@mail3.example.com"
