@@ -21,28 +21,41 @@ CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-# Forms of address by gender, and given names that tell it.
-TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme"), "": ("Dr", "Prof", "Contact", "Name")}
+# Forms of address, given names by gender, country calling codes, scripts that set no space between words.
+TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Dr", "Prof", "Contact", "Name")
 GIVEN = {
     "m": ("James", "John", "Robert", "Michael", "David", "Thomas", "Paul", "Peter", "Hans", "Klaus", "Pierre", "Jean", "Louis", "Carlos", "Juan", "Pedro"),
     "f": ("Mary", "Anna", "Linda", "Sarah", "Emma", "Laura", "Julia", "Karin", "Greta", "Marie", "Claire", "Sophie", "Maria", "Carmen", "Elena", "Lucia"),
 }
 
-_NAME = r"[^\W\d_a-z][^\W\d_]+"
+COUNTRY = r"(?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d{2})"
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI", "LAO", "KHMER", "MYANMAR")
+
+_SEP = "[ .\u00a0\u202f/-]"
+_PHONES = (
+    rf"(?:\+|00)1{_SEP}?(?:\(\d{{3}}\)|\d{{3}}){_SEP}?\d{{3}}{_SEP}?\d{{4}}",  # North America
+    rf"{COUNTRY}(?:{_SEP}?\(\d{{1,5}}\))?(?:{_SEP}?\d){{6,12}}",  # any other country
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}",
+    rf"(?:0[1-9]|[6-9]\d{{2}}(?={_SEP}\d{{2}}{_SEP}\d{{2}}{_SEP}\d{{2}}(?!\d)))(?:{_SEP}\d{{2}}){{3,4}}",  # in pairs
+    rf"(?:\(0[1-9]\d{{0,3}}\){_SEP}?|0[1-9]\d{{0,3}}{_SEP})\d{{5,8}}",  # area code and an undivided number
+    r"0[1-9]\d{8,9}",
+)
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x12000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_NAME = rf"[^\W\d_a-z](?:[^\W\d_]|[{_MARKS}])+"
 PATTERNS: dict[str, re.Pattern] = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "aws_key": re.compile(r"\b(?:AKIA|ASIA)[A-Z2-7]{16}\b"),
     "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9_\-]{8,})"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ipv4": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    "card": re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    "card": re.compile(r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d])"),
-    "name": re.compile(rf"\b(?P<t>{'|'.join(t for ts in TITLES.values() for t in ts)})\b(?:\.|:)?\s+(?P<v>{_NAME}(?:\s{_NAME})?)"),
+    "phone": re.compile(rf"(?<![\w.+])(?:{'|'.join(_PHONES)})(?![\d])"),
+    "name": re.compile(rf"\b(?:{'|'.join(TITLES)})\b(?:\.|:)?\s+(?P<v>{_NAME}(?:\s{_NAME})?)"),
 }
 _DIGIT = re.compile("[0-9]")
 _WORDS = ("token", "secret", "passw", "api")
-_TITLES = [t for ts in TITLES.values() for t in ts]
+_TOKEN = re.compile(rf"[\w{_MARKS}]+")
 
 
 def luhn(digits: str) -> bool:
@@ -93,9 +106,33 @@ class Keyed:
         return "".join(out)
 
 
-def script_of(text: str) -> str:
-    names = " ".join(unicodedata.name(c, "") for c in text if c.isalpha())
-    return GREEK if "GREEK" in names else CYRILLIC if "CYRILLIC" in names else LATIN
+@lru_cache(10_000)
+def script_of(c: str) -> str:
+    """The first word of a letter's name, such as LATIN or CJK."""
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+@lru_cache(1000)
+def block(script: str, start: int, end: int) -> str:
+    """The letters of a script in a range of code points, without upper-case ones."""
+    return "".join(c for c in map(chr, range(start, end)) if c.isalpha() and c.lower() == c and script_of(c) == script)
+
+
+def block_of(c: str) -> str:
+    code = ord(c.lower()[0])
+    for start, end in ((0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x3400, 0x4DC0), (0x20000, 0x2A6E0)):
+        if start <= code < end:
+            return block(script_of(c), start, end)
+    return block(script_of(c), code & ~127, (code | 127) + 1)
+
+
+def alphabets_of(text: str) -> list[str]:
+    """The alphabets that change a text: of Latin, Greek and Cyrillic letters, else of the Unicode block."""
+    known = {"LATIN": LATIN, "GREEK": GREEK, "CYRILLIC": CYRILLIC}
+    found = {known.get(script_of(c)) or block_of(c) for c in text if c.isalpha()}
+    if not any(c.lower() in a for a in found for c in text):  # such as accented letters only
+        found |= {block_of(c) for c in text if c.isalpha()}
+    return sorted(a for a in found if len(a) > 1)
 
 
 class Surrogates:
@@ -104,12 +141,12 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.keyed = Keyed(key)
 
-    def make(self, kind: str, value: str, gender: str = "", attempt: int = 0) -> str:
+    def make(self, kind: str, value: str, attempt: int = 0) -> str:
         k, tweak = self.keyed, f"{kind}|{attempt}"
         if kind == "email":
             local, _, domain = value.rpartition("@")
             host, _, top = domain.rpartition(".")
-            local = k.letters(k.letters(local, DIGITS, tweak + "|local"), LATIN, tweak + "|local")
+            local = self.scripts(k.letters(local, DIGITS, tweak + "|local"), tweak + "|local")
             return f"{local}@{k.letters(host, LATIN, tweak + '|host')}.{top}"
         if kind == "ipv4":
             octets = [int(o) for o in value.split(".")]
@@ -123,7 +160,7 @@ class Surrogates:
             rest = iter(digits)
             return "".join(str(next(rest)) if c.isdigit() else c for c in value)
         if kind == "phone":
-            country = len(re.match(r"(?:\+\d{1,3}[ .-]?)?", value)[0])
+            country = len(re.match(rf"(?:{COUNTRY}|0(?=[1-9]))?", value)[0])
             return k.letters(value, DIGITS, tweak, keep=lambda i: i < country)
         if kind == "ssn":
             return k.letters(value, DIGITS, tweak)
@@ -135,14 +172,19 @@ class Surrogates:
             if all(c in HEX for c in value):
                 return "".join(HEX[v] for v in k.permute([HEX.index(c) for c in value], 16, tweak))
             return k.letters(k.letters(value, DIGITS, tweak), LATIN, tweak)
-        return " ".join(self.given(part, gender, tweak) for part in value.split())
+        return " ".join(self.given(part, tweak) for part in value.split())
 
-    def given(self, part: str, gender: str, tweak: str) -> str:
+    def scripts(self, text: str, tweak: str) -> str:
+        for alphabet in alphabets_of(text):
+            text = self.keyed.letters(text, alphabet, tweak)
+        return text
+
+    def given(self, part: str, tweak: str) -> str:
         for g, names in GIVEN.items():
             if part in names:
                 order = sorted(names, key=lambda n: hmac.digest(self.keyed.key, f"{tweak}|{g}|{n}".encode(), "sha256"))
                 return order[(order.index(part) + 1) % len(order)]
-        return self.keyed.letters(unicodedata.normalize("NFC", part), script_of(part), tweak + gender)
+        return self.scripts(unicodedata.normalize("NFC", part), tweak)
 
 
 def emails(text: str) -> Iterator[re.Match]:
@@ -158,12 +200,29 @@ def emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", max(at + 1, m.end() if m else 0))
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities of a text; where two overlap, the earlier kind of PATTERNS stays."""
-    found: list[tuple[int, int, str, str]] = []
+def mentions(text: str, parts: set[str]) -> Iterator[tuple[int, int]]:
+    """Where the parts of found names stand as words, as they are or in upper case; in scripts without spaces anywhere."""
+    known = parts | {p.upper() for p in parts}
+    spans = [m.span() for m in _TOKEN.finditer(text) if m[0] in known]
+    unspaced = [re.escape(p) for p in sorted(parts, key=lambda p: (-len(p), p)) if script_of(p[0]) in UNSPACED]
+    if unspaced:
+        spans = sorted({*spans, *(m.span() for m in re.finditer("|".join(unspaced), text))}, key=lambda s: (s[0], -s[1]))
+    last = 0
+    for a, b in spans:
+        if a >= last:
+            yield a, b
+            last = b
+
+
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the entities of a text; where two overlap, the earlier kind of PATTERNS stays.
+
+    Names are those after a title, and every other mention of them or of a part of them.
+    """
+    found: list[tuple[int, int, str]] = []
     digit = _DIGIT.search(text) is not None
     lower = text.lower()
-    there = {"email": "@" in text, "secret": any(w in lower for w in _WORDS), "name": any(t in text for t in _TITLES), "aws_key": "AKIA" in text or "ASIA" in text}
+    there = {"email": "@" in text, "secret": any(w in lower for w in _WORDS), "name": any(t in text for t in TITLES), "aws_key": "AKIA" in text or "ASIA" in text}
     for kind, pattern in PATTERNS.items():
         if not there.get(kind, digit):
             continue
@@ -171,52 +230,67 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             a, b = m.span("v") if "v" in pattern.groupindex else m.span()
             if kind == "card" and not luhn(re.sub(r"\D", "", m[0])):
                 continue
-            gender = next((g for g, ts in TITLES.items() if m["t"] in ts), "") if kind == "name" else ""
-            found.append((a, b, kind, gender))
+            found.append((a, b, kind))
     rank = {k: i for i, k in enumerate(PATTERNS)}
-    taken: list[tuple[int, int, str, str]] = []
-    for e in sorted(found, key=lambda e: (rank[e[2]], e[0])):
+    taken: list[tuple[int, int, str]] = []
+
+    def place(e: tuple[int, int, str]) -> int | None:
         i = bisect(taken, e)
-        if (not i or taken[i - 1][1] <= e[0]) and (i == len(taken) or taken[i][0] >= e[1]):
+        return i if (not i or taken[i - 1][1] <= e[0]) and (i == len(taken) or taken[i][0] >= e[1]) else None
+
+    for e in sorted(found, key=lambda e: (rank[e[2]], e[0])):
+        i = place(e)
+        if i is not None:
             taken.insert(i, e)
-    return taken
+    parts = {p for a, b, kind in taken if kind == "name" for p in text[a:b].split()}
+    more: list[tuple[int, int, str]] = []
+    for a, b in mentions(text, parts) if parts else ():
+        if place((a, b, "name")) is None:
+            continue
+        if more and text[more[-1][1] : a].isspace() and a - more[-1][1] == 1:
+            a = more.pop()[0]
+        more.append((a, b, "name"))
+    return sorted(taken + more) if more else taken
 
 
 def scrub(text: str, surrogates: Surrogates, cached: Callable | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced in order.
 
     A surrogate that is an original of the same text, or that another original has got, is made anew with
-    the next attempt, so different entities stay different and none is taken for another.
+    the next attempt, so different entities stay different and none is taken for another. Names are replaced
+    part by part, so that each part stays the same in every mention, in upper case too.
     """
     entities = find(text)
     if not entities:
         return text, []
     make = cached or surrogates.make
-    originals = {text[a:b] for a, b, _, _ in entities}
+    spans = [s for a, b, kind in entities for s in ([(a + m.start(), a + m.end(), kind) for m in re.finditer(r"\S+", text[a:b])] if kind == "name" else [(a, b, kind)])]
+    original = lambda kind, value: value.capitalize() if kind == "name" and value.isupper() else value
+    originals = {original(kind, text[a:b]) for a, b, kind in spans}
     given: dict[tuple[str, str], str] = {}
     used: set[str] = set()
     out, last = [], 0
-    for a, b, kind, gender in entities:
-        value = text[a:b]
+    for a, b, kind in spans:
+        value = original(kind, text[a:b])
         new = given.get((kind, value))
         if new is None:
             for attempt in range(100):
-                new = make(kind, value, gender, attempt)
+                new = make(kind, value, attempt)
                 if new not in used and new not in originals:
                     break
             given[kind, value] = new
             used.add(new)
-        out += [text[last:a], new]
+        out += [text[last:a], new.upper() if kind == "name" and value != text[a:b] else new]
         last = b
-    return "".join([*out, text[last:]]), [k for _, _, k, _ in entities]
+    return "".join([*out, text[last:]]), [k for _, _, k in entities]
 
 
 def pii_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text with surrogates, n_entities and kinds (distinct, sorted, comma-joined) for each row.
 
     Entities are those of PATTERNS. Under one key an entity has one surrogate in the whole corpus without any
-    exchange between tasks, as each kind and form is permuted within itself; forms, scripts, genders and check
-    digits stay. A null text stays null with no entities; texts without entities stay as they are; repeated
+    exchange between tasks, as each kind and form is permuted within itself; forms, scripts, the gender of given
+    names, country codes and check digits stay. A null text stays null with no entities; texts without entities stay as they are; repeated
     rows come out alike; long texts are read whole; an empty table gives no rows; further columns aren't read.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.StringType())])

@@ -252,6 +252,28 @@ def test_pii_surrogates(spark, odd):
     assert [r.text for r in rows[:11]] == ODD and rows[0].n_entities == 0
 
 
+def test_pii_surrogates_of_every_mention_script_and_phone_form():
+    s = pii.Surrogates(b"key")
+    new, kinds = pii.scrub("Before, Smith came. Mr James Smith spoke; Smith said, and James SMITH too. Smithy stays.", s)
+    surname = re.search("Before, (.+) came", new)[1]
+    assert "James" not in new and "SMITH" not in new and not re.search(r"\bSmith\b", new) and kinds == ["name"] * 4
+    assert new.count(surname) == 3 and surname.upper() in new and new.endswith("Smithy stays.")
+    new, _ = pii.scrub("Dr Anna Huber and Frau Huber", s)
+    assert new.split()[2] == new.split()[5] != "Huber"
+    for name in ("王伟", "محمد", "दिनेश", "כהן", "김철수", "Éé"):
+        new, kinds = pii.scrub(f"Dr {name}, {name}", s)
+        assert name not in new and kinds == ["name", "name"], name
+    assert "王伟" not in pii.scrub("Dr 王伟, 那么王伟说", s)[0]
+    assert "王伟@" not in pii.scrub("王伟@example.com", s)[0]
+    for phone, country in {"+33 1 23 45 67 89": "+33", "+49 30 12345678": "+49", "+34 612 34 56 78": "+34", "+16265555759": "+1", "+4915112345678": "+49", "030 12345678": "0", "01 23 45 67 89": "0", "612 34 56 78": "", "0612345678": "0", "0033 1 23 45 67 89": "0033"}.items():
+        new, kinds = pii.scrub(f"Call {phone}, or not", s)
+        got = new[5:-8]
+        assert kinds == ["phone"] and got != phone and re.sub(r"\d", "1", got) == re.sub(r"\d", "1", phone) and got.startswith(country), (phone, new)
+        digits = lambda t: re.sub(r"\D", "", t[len(country) :])
+        assert sum(a == b for a, b in zip(digits(got), digits(phone))) < len(digits(phone)) - 2
+    assert pii.scrub("In 2024 12 of 1500 paid 3.50 on 01.02.2024 at 10:30", s)[1] == []
+
+
 def test_language_id_on_held_out_documents(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out("doc_id")))
