@@ -11,14 +11,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mktstream.functions.values import SCHEMA_RTYPE
 from mktstream.operators.filters import limit_records
 from mktstream.operators.merge import merge_streams
 from mktstream.operators.split import split_by_schema, split_by_symbol, split_by_time
 from mktstream.operators.symbology import with_symbol
 from mktstream.plans.metadata import Metadata, interval_frame, merge
+from mktstream.plans.upgrade import check_policy, upgrade
 from mktstream.sources.binary import register
 from mktstream.sources.codec import compressed, opened, read_metadata
-from mktstream.sources.layouts import index_column, schema_layout
+from mktstream.sources.layouts import KIND, index_column, schema_layout
 from mktstream.sources.text import csv_lines, header, json_lines
 
 #: Output encoding and compression by suffix, longest first.
@@ -80,11 +82,15 @@ def metadata_of(path: str) -> Metadata:
         return read_metadata(opened(f))
 
 
-def read(spark: SparkSession, path: str, schema: str, args: argparse.Namespace) -> DataFrame:
-    reader = spark.read.format("mktbin").option("schema", schema).option("input_version", args.input_version)
+def read(spark: SparkSession, path: str, schema: str, args: argparse.Namespace, version: int, target: int) -> DataFrame:
+    """The records of a file of a version, as those of the target version."""
+    reader = spark.read.format("mktbin").option("schema", schema).option("input_version", version)
     if args.input_fragment:
         reader = reader.option("has_metadata", "false")
-    return reader.load(path).withColumn("__at", F.monotonically_increasing_id())
+    rows = reader.load(path)
+    if schema_layout(schema, version) != schema_layout(schema, target):
+        rows = upgrade(rows, KIND[SCHEMA_RTYPE[schema]], schema_layout(schema, target))
+    return rows.withColumn("__at", F.monotonically_increasing_id())
 
 
 def deliver(lines: DataFrame, output: str | None, zstd: bool, force: bool, head: str | None) -> None:
@@ -109,6 +115,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     register(spark)
     encoding, zstd = encoding_of(args)
     metas = [] if args.input_fragment else [metadata_of(p) for p in args.input]
+    versions = [m.version for m in metas] or [args.input_version] * len(args.input)
+    version = max(check_policy("upgrade_to_v3" if args.upgrade else "as_is", v) for v in versions)
+    if args.upgrade:
+        metas = [m.upgraded(version) for m in metas]
     meta = merge(metas) if metas else None
     if args.metadata:
         print(meta.to_json(args.pretty, args.pretty))
@@ -116,9 +126,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     schema = args.schema or (meta.schema if meta else None)
     if schema is None:
         raise SystemExit("a stream of several schemas needs --schema")
-    version = 3 if args.upgrade else meta.version if meta else args.input_version
     name, ts = schema_layout(schema, version), index_column(schema_layout(schema, version))
-    parts = [read(spark, p, schema, args) for p in args.input]
+    parts = [read(spark, p, schema, args, v, version) for p, v in zip(args.input, versions)]
     rows = merge_streams(parts, ts, "__at", [m.start for m in metas] or None, ordered=False) if len(parts) > 1 else parts[0].withColumns({"__key": F.lit(0), "__stream": F.lit(0), "__position": F.col("__at")})
     order = ["__key", "__stream", "__position"]
     rows = limit_records(rows, args.limit, order)

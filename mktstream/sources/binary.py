@@ -45,7 +45,6 @@ class RecordDecoder:
         self.rtype = SCHEMA_RTYPE[self.name_schema]
         self.strict = options.get("on_mismatch", "skip") == "error"
         self.schema = schema
-        self.upgraded = schema_layout(self.name_schema, int(options.get("input_version", 3)))
 
     def batches(self, data: bytes, version: int, ts_out: bool) -> tuple[list[pa.RecordBatch], int]:
         """Arrow batches of the whole records in data, and the bytes they take."""

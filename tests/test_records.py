@@ -150,6 +150,31 @@ def test_upgrade_of_definitions(spark):
     assert (row.leg_price, row.leg_count, row.raw_symbol) == (9223372036854775807, 0, "x")
 
 
+def test_command_line_upgrades_old_files(spark, tmp_path):
+    import json
+
+    from mktstream import cli
+
+    register(spark)
+    row = lambda name, **own: tuple(own.get(f.name, "A" if f.dataType.simpleString() == "string" else 1) for f in spark_schema(name))
+
+    def upgraded(schema, old, version, *flags, **own):
+        path, out = str(tmp_path / f"{schema}.{version}.dbn"), str(tmp_path / f"{schema}.{version}{''.join(flags)}.json")
+        frame = spark.createDataFrame([row(old, **{"rtype": cli.SCHEMA_RTYPE[schema], **own})], spark_schema(old))
+        frame.write.format("mktbin").mode("overwrite").options(schema=schema, dataset="XNAS.ITCH", start=str(EVENT), version=version).save(path)
+        cli.main([path, *flags, "-o", out, "-J"], spark)
+        return json.loads(open(out).read())
+
+    undefined = 2**31 - 1
+    assert int(upgraded("statistics", "statistics_v1", 1, "-u", quantity=undefined)["quantity"]) == 2**63 - 1
+    assert int(upgraded("statistics", "statistics_v1", 2, "-u", quantity=7)["quantity"]) == 7
+    assert int(upgraded("statistics", "statistics_v1", 1, quantity=undefined)["quantity"]) == undefined
+    for version in (1, 2):
+        new = upgraded("definition", f"definition_v{version}", version, "-u")
+        assert (int(new["leg_price"]), new["leg_count"], new["leg_side"]) == (2**63 - 1, 0, "N")
+        assert "leg_price" not in upgraded("definition", f"definition_v{version}", version)
+
+
 def test_live_symbols_as_state(spark, tmp_path):
     from mktstream.streaming.live import with_live_symbol
 
