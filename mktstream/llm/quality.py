@@ -117,8 +117,8 @@ def logistic(bins: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
 def classifier(bins: DataFrame, labels: DataFrame, id_col: str) -> tuple[list[list[float]], float]:
     """Log-likelihood ratios by feature and bin, and the share of good ones among all labelled rows.
 
-    Weights come from a sample of SAMPLE rows or so; the odds of the classes, which the weights hold too, are
-    taken out of them.
+    Weights come from a sample of SAMPLE rows or so, up to half of them of each class, however rare it is; the
+    sample's odds of the classes, which the weights hold too, are taken out of them.
     """
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q"))
     rows = bins.join(known, F.col(id_col) == F.col("__id"))
@@ -127,10 +127,11 @@ def classifier(bins: DataFrame, labels: DataFrame, id_col: str) -> tuple[list[li
     prior = (good + 1) / (good + bad + 2)
     if not bad or not good:
         return [[0.0] * BINS] * N_FEATURES, prior
-    drawn = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(SAMPLE / (good + bad) * 1_000_000)).select("__bins", "__q").collect()
+    share = F.when(F.col("__q") == 1, SAMPLE / 2 / good).otherwise(SAMPLE / 2 / bad)
+    drawn = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < share * 1_000_000).select("__bins", "__q").collect()
     y = np.array([r["__q"] for r in drawn], float)
     if not 0 < y.sum() < len(y):
-        return [[0.0] * BINS] * N_FEATURES, prior
+        raise ValueError(f"a class is missing among {len(y)} drawn rows of {good} good and {bad} bad ones")
     weights, intercept = logistic(np.array([r["__bins"] for r in drawn]), y)
     base = (intercept - _logit(y.mean())) / N_FEATURES
     return [[float(v) + base for v in row] for row in weights], prior

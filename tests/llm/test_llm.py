@@ -184,6 +184,14 @@ def test_quality_keeps_clean_documents(spark, odd):
     assert quality.quality(odd.limit(0), labels).count() == 0
 
 
+def test_quality_draws_both_classes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    bins = spark.createDataFrame([(i, [int(i < 3)] * quality.N_FEATURES) for i in range(2000)], "doc_id bigint, __bins array<int>")
+    labels = spark.createDataFrame([(i, int(i >= 3)) for i in range(2000)], "doc_id bigint, quality int")
+    log_odds, prior = quality.classifier(bins, labels, "doc_id")
+    assert all(row[0] > 0 > row[1] for row in log_odds) and prior > 0.99
+
+
 def test_decontamination_finds_planted_passages(spark, odd):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
