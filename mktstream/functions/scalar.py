@@ -88,8 +88,9 @@ def date_of_int(n: Column | str) -> Column:
 
 
 def delta_interval(ns: Column | str) -> Column:
-    """A nanosecond difference in seconds."""
-    return _c(ns) / F.lit(float(NS))
+    """A nanosecond difference as an interval of microseconds (cut toward zero)."""
+    micros = F.when(_c(ns) < 0, -F.floor(-_c(ns) / F.lit(1000))).otherwise(F.floor(_c(ns) / F.lit(1000)))
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros.cast("decimal(20,6)") / 1000000).cast("decimal(18,6)"))
 
 
 def escaped_char(c: Column | str) -> Column:
@@ -108,6 +109,11 @@ def set_flag(flags: Column | str, name: str) -> Column:
     return _c(flags).bitwiseOR(F.lit(V.FLAGS[name]))
 
 
+def clear_flags(flags: Column | str) -> Column:
+    """No flag set."""
+    return (_c(flags) * 0).cast("short")
+
+
 def any_flag(flags: Column | str) -> Column:
     return _c(flags) != 0
 
@@ -184,5 +190,27 @@ def publisher_of(dataset: Column | str, venue: Column | str) -> Column:
     return lookup(F.concat_ws(".", _c(dataset), _c(venue)), {p: i for i, p in enumerate(V.PUBLISHERS, 1)}, strict=True)
 
 
+def publishers_of(dataset: Column | str) -> Column:
+    """The numbers of a dataset's publishers, ascending; null for an unknown dataset."""
+    table: dict[str, list[int]] = {d: [] for d in V.DATASETS}
+    for i, p in enumerate(V.PUBLISHERS, 1):
+        table[p.rpartition(".")[0]].append(i)
+    return F.try_element_at(F.create_map(*[x for d, ids in table.items() for x in (F.lit(d), F.array(*map(F.lit, ids)).cast("array<int>"))]), _c(dataset))
+
+
+def enum_name(code: Column | str, enum: str, strict: bool = False) -> Column:
+    """The name of a code of one of functions.enums.ENUMS; unknown codes give null, or with strict an error."""
+    from mktstream.functions.enums import ENUMS
+
+    return lookup(code, ENUMS[enum], strict)
+
+
+def enum_code(name: Column | str, enum: str, strict: bool = False) -> Column:
+    """The code of a name, which is compared in lower case with - for _."""
+    from mktstream.functions.enums import ENUMS, plain
+
+    return lookup(F.translate(F.lower(_c(name)), "_", "-"), {plain(n): c for c, n in ENUMS[enum].items()}, strict)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

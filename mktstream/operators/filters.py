@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mktstream.functions.values import RTYPE_SCHEMA, SCHEMA_RTYPE
+from mktstream.sources.layouts import HEADER
 
 
 def schema_filter(records: DataFrame, schema: str | None) -> DataFrame:
@@ -29,6 +30,14 @@ def typed(records: DataFrame, rtype: int, strict: bool = True) -> DataFrame:
     return records.where(F.when(F.col("rtype") == rtype, True).otherwise(F.raise_error(F.concat(F.lit("unexpected record type "), F.col("rtype").cast("string"))).cast("boolean")))
 
 
+def of_kind(mixed: DataFrame, kind: str) -> DataFrame:
+    """Rows of one kind of a table of mixed types, as a table with the columns of that kind."""
+    first = [c for c in ("ts_recv",) if c in mixed.schema[kind].dataType.names]
+    rest = [c for c in mixed.schema[kind].dataType.names if c not in first]
+    further = [c for c in ("ts_out", "position", "symbol") if c in mixed.columns]
+    return mixed.where(F.col(kind).isNotNull()).select(*[f"{kind}.{c}" for c in first], *HEADER, *[f"{kind}.{c}" for c in rest], *further)
+
+
 def data_records(records: DataFrame) -> DataFrame:
     """Records that belong to a schema: no errors, system messages or symbol mappings."""
     return records.where(F.col("rtype").isin(*RTYPE_SCHEMA))

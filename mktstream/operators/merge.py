@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mktstream.functions.scalar import unsigned_order
+from mktstream.operators.running import running_max
 
 
 def merge_keys(stream: DataFrame, number: int, index_ts: str, position: str, hint: int | None = None, is_sorted: bool = False) -> DataFrame:
     """stream with __stream, __position and __key: the largest time so far, which is when a merge lets a record out.
 
     A hint is the time from which the merge may open the stream. Of a stream known to be sorted the record's own
-    time is the key, without a window; otherwise the window needs the stream in one sorted task.
+    time is the key, without a window; otherwise the maximum runs inside ranges of the position, and one row a
+    range carries it on (operators.running).
     """
     own = unsigned_order(index_ts)
     if hint is not None:
         own = F.greatest(own, unsigned_order(F.lit(hint)))
-    key = own if is_sorted else F.max(own).over(Window.partitionBy(F.lit(number)).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
-    return stream.withColumn("__stream", F.lit(number)).withColumn("__position", F.col(position)).withColumn("__key", key)
+    keyed = stream.withColumn("__key", own) if is_sorted else running_max(stream, "__key", own, position)
+    return keyed.withColumn("__stream", F.lit(number)).withColumn("__position", F.col(position))
 
 
 def merge_streams(streams: list[DataFrame], index_ts: str, position: str, hints: list[int | None] | None = None, is_sorted: list[bool] | None = None, ordered: bool = True) -> DataFrame:

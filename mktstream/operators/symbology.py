@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mktstream.functions.scalar import index_date
+from mktstream.operators.running import running_last
+from mktstream.plans.metadata import Metadata, interval_frame
 
 
 def resolved_intervals(intervals: DataFrame) -> DataFrame:
@@ -60,7 +64,45 @@ def with_live_symbol(records: DataFrame, position: str, update: Column) -> DataF
     """records and `symbol`, the last update of the instrument up to and with the record, in arrival order.
 
     update: the new symbol where a record is a symbol mapping (or a definition, if the caller wants these),
-    else null. The window runs inside an instrument; one with very many records is one task's sorted stream.
+    else null: see live_update. The order is cut in ranges of the position, so no instrument, however hot, is one task's.
+    """
+    return running_last(records.drop("symbol"), "symbol", update, position, ["instrument_id"])
+
+
+def live_update(definitions: bool = False) -> Column:
+    """For with_live_symbol over a table of mixed types: what symbol mappings, and if asked for definitions, say of their instrument."""
+    mapped = F.col("symbol_mapping.stype_out_symbol")
+    return F.coalesce(mapped, F.col("definition.raw_symbol")) if definitions else mapped
+
+
+def interval_map(spark: SparkSession, intervals: dict[int, list[tuple[date, date, str]]]) -> DataFrame:
+    """An explicit map of instruments to (start, end, symbol) as a table of intervals; empty symbols are left out."""
+    rows = [(number, a, b, s) for number, spans in intervals.items() for a, b, s in spans if s]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "instrument_id bigint, start_date date, end_date date, symbol string, ordinal int")
+
+
+def oriented(mappings: DataFrame, inverse: bool) -> DataFrame:
+    """Mapping intervals (raw_symbol, start_date, end_date, mapped, ordinal) as instrument_id and symbol, whichever side the ids are on.
+
+    Intervals mapped to nothing are left out; an id that is no number of 32 bits is an error.
+    """
+    number, name = ("raw_symbol", "mapped") if inverse else ("mapped", "raw_symbol")
+    known = mappings.where(F.coalesce(F.col("mapped"), F.lit("")) != "")
+    value = F.expr(f"try_cast(`{number}` AS bigint)")
+    checked = F.when(value.between(0, 0xFFFFFFFF), value).otherwise(F.raise_error(F.concat(F.lit("no instrument: "), F.col(number))).cast("bigint"))
+    return known.select(checked.alias("instrument_id"), "start_date", "end_date", F.col(name).alias("symbol"), "ordinal")
+
+
+def symbols_of(records: DataFrame, meta: Metadata | None, index_ts: str, position: str, explicit: DataFrame | None = None, definitions: bool = False) -> DataFrame:
+    """records of mixed types, or of one, and `symbol` as their stream calls for.
+
+    An explicit table of intervals holds before all else; metadata with a schema are of a historical stream, whose
+    intervals hold; metadata without one are of a live stream, whose own records tell symbols as they come.
     """
-    so_far = Window.partitionBy("instrument_id").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("symbol", F.last(update, ignorenulls=True).over(so_far))
+    if meta is not None and meta.schema is None:
+        return with_live_symbol(records, position, live_update(definitions))
+    if explicit is not None:
+        return with_symbol(records, explicit, index_ts)
+    if meta is None:
+        return records.drop("symbol").withColumn("symbol", F.lit(None).cast("string"))
+    return with_symbol(records, interval_frame(records.sparkSession, meta), index_ts)

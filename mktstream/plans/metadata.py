@@ -7,6 +7,7 @@ import struct
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta, timezone
 
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from mktstream.functions import values as V
@@ -16,8 +17,9 @@ MAGIC = b"DBN"
 NULL_SCHEMA = 0xFFFF
 NULL_STYPE = 0xFF
 START_OFFSET = 26
-SYMBOL_WIDTH = {1: 22, 2: 71, 3: 71}
+SYMBOL_WIDTH = {0: 22, 1: 22, 2: 71, 3: 71}
 RESERVED = {1: 47, 2: 53, 3: 53}
+LEGACY_MAGIC, LEGACY_FIXED, LEGACY_RESERVED = b"DBZ\x01", 96, 39
 
 Interval = tuple[date, date, str]
 
@@ -26,6 +28,18 @@ class FormatError(ValueError):
     """Bytes or values that the format doesn't allow."""
 
 
+class DecodeError(FormatError):
+    """Bytes that are no record or metadata."""
+
+
+class EncodeError(FormatError):
+    """Values that cannot be written."""
+
+
+class ConversionError(FormatError):
+    """A value that a type or enumeration doesn't have."""
+
+
 @dataclass(frozen=True)
 class Metadata:
     dataset: str
@@ -87,8 +101,10 @@ class Metadata:
         return list(out.items())
 
     def encode(self) -> bytes:
+        if not self.version:
+            raise EncodeError("the legacy format is only read")
         if not self.dataset.isascii() or len(self.dataset) > 16:
-            raise FormatError(f"dataset {self.dataset!r}")
+            raise EncodeError(f"dataset {self.dataset!r}")
         out = [_fixed(self.dataset, 16, full=True), struct.pack("<H", V.SCHEMAS[self.schema] if self.schema else NULL_SCHEMA)]
         out.append(struct.pack("<QQQ", self.start, V.UNDEF_TIMESTAMP if self.end is None else self.end, self.limit or 0))
         if self.version == 1:
@@ -110,41 +126,40 @@ class Metadata:
         return MAGIC + struct.pack("<BI", self.version, len(body)) + body
 
     @classmethod
-    def decode(cls, data: bytes) -> tuple[Metadata, int]:
+    def decode(cls, data: bytes, upgrade_policy: str = "as_is") -> tuple[Metadata, int]:
         """The metadata at the start of data, and the offset of the first record."""
+        from mktstream.plans.upgrade import check_policy
+
         if data[:3] != MAGIC:
-            raise FormatError("no metadata at the start")
+            raise DecodeError("no metadata at the start")
         version, length = data[3], struct.unpack_from("<I", data, 4)[0]
-        if version not in SYMBOL_WIDTH:
-            raise FormatError(f"version {version}")
+        if version not in RESERVED:
+            raise DecodeError(f"version {version}")
         if len(data) < 8 + length:
             raise EOFError(8 + length)
-        at = 8
-
-        def take(form: str):
-            nonlocal at
-            out = struct.unpack_from("<" + form, data, at)
-            at += struct.calcsize("<" + form)
-            return out if len(out) > 1 else out[0]
-
-        dataset, schema = take("16s").rstrip(b"\0").decode(), take("H")
-        start, end, limit = take("QQQ")
+        body = _Fields(data, 8)
+        dataset, schema = body.take("16s").rstrip(b"\0").decode(), body.take("H")
+        start, end, limit = body.take("QQQ")
         if version == 1:
-            take("Q")
-        stype_in, stype_out, ts_out = take("BBB")
-        width = take("H") if version > 1 else SYMBOL_WIDTH[1]
-        at += RESERVED[version]
-        if take("I"):
-            raise FormatError("schema definitions aren't known")
-        text = lambda: take(f"{width}s").split(b"\0")[0].decode()
-        lists = [tuple(text() for _ in range(take("I"))) for _ in range(3)]
-        mappings = {}
-        for _ in range(take("I")):
-            raw = text()
-            mappings[raw] = [(_int_date(take("I")), _int_date(take("I")), text()) for _ in range(take("I"))]
-        by_schema, by_stype = {v: k for k, v in V.SCHEMAS.items()}, {v: k for k, v in V.STYPES.items()}
-        made = cls(dataset, start, by_stype[stype_out], None if schema == NULL_SCHEMA else by_schema[schema], None if end == V.UNDEF_TIMESTAMP else end, limit or None, None if stype_in == NULL_STYPE else by_stype[stype_in], bool(ts_out), version, *lists, mappings)
-        return made, 8 + length
+            body.take("Q")
+        stype_in, stype_out, ts_out = body.take("BBB")
+        width = body.take("H") if version > 1 else SYMBOL_WIDTH[1]
+        body.at += RESERVED[version]
+        rest = body.symbols(width)
+        made = cls(dataset, start, _NAME_OF_STYPE[stype_out], None if schema == NULL_SCHEMA else _NAME_OF_SCHEMA[schema], None if end == V.UNDEF_TIMESTAMP else end, limit or None, None if stype_in == NULL_STYPE else _NAME_OF_STYPE[stype_in], bool(ts_out), version, *rest)
+        return made.upgraded(check_policy(upgrade_policy, version)), 8 + length
+
+    @classmethod
+    def decode_legacy(cls, data: bytes) -> Metadata:
+        """The metadata of the format before version 1: the content of its skippable frame. Records are as those of version 1."""
+        if data[:4] != LEGACY_MAGIC or len(data) < LEGACY_FIXED:
+            raise DecodeError("no legacy metadata")
+        body = _Fields(data, 4)
+        dataset, schema = body.take("16s").rstrip(b"\0").decode(), body.take("H")
+        start, end, limit, _ = body.take("QQQQ")
+        _, stype_in, stype_out = body.take("BBB")
+        rest = zstandard.ZstdDecompressor().decompressobj().decompress(data[body.at + LEGACY_RESERVED :])
+        return cls(dataset, start, _NAME_OF_STYPE[stype_out], _NAME_OF_SCHEMA[schema], end or None, limit or None, _NAME_OF_STYPE[stype_in], False, 0, *_Fields(rest, 0).symbols(SYMBOL_WIDTH[0]))
 
     def to_json(self, pretty_ts: bool = False, indent: bool = False) -> str:
         day = (lambda d: d.isoformat()) if pretty_ts else _date_int
@@ -158,9 +173,49 @@ class Metadata:
         return json.dumps(doc, indent=4 if indent else None, separators=None if indent else (",", ":"))
 
 
+_NAME_OF_SCHEMA, _NAME_OF_STYPE = {v: k for k, v in V.SCHEMAS.items()}, {v: k for k, v in V.STYPES.items()}
+
+
+class _Fields:
+    """Little-endian fields read one after the other."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, at
+
+    def take(self, form: str):
+        out = struct.unpack_from("<" + form, self.data, self.at)
+        self.at += struct.calcsize("<" + form)
+        return out if len(out) > 1 else out[0]
+
+    def text(self, width: int) -> str:
+        return self.take(f"{width}s").split(b"\0")[0].decode()
+
+    def symbols(self, width: int) -> tuple:
+        """symbols, partial, not_found and mappings, after a length that has to be 0."""
+        if self.take("I"):
+            raise DecodeError("schema definitions aren't known")
+        lists = [tuple(self.text(width) for _ in range(self.take("I"))) for _ in range(3)]
+        mappings = {}
+        for _ in range(self.take("I")):
+            raw = self.text(width)
+            mappings[raw] = [(_int_date(self.take("I")), _int_date(self.take("I")), self.text(width)) for _ in range(self.take("I"))]
+        return *lists, mappings
+
+
+def mappings_of_json(text: str) -> dict[str, list[Interval]]:
+    """Mappings from JSON as symbology services give it: raw symbol to a list of objects with d0, d1 (ISO dates) and s."""
+    return {raw: [(date.fromisoformat(i["d0"]), date.fromisoformat(i["d1"]), i["s"]) for i in spans] for raw, spans in json.loads(text).items()}
+
+
+def filtered(meta: Metadata, schema: str | None = None, limit: int | None = None) -> Metadata:
+    """The metadata of a stream after a schema filter and a limit."""
+    meta = replace(meta, schema=schema) if schema else meta
+    return replace(meta, limit=min(limit, meta.limit or limit)) if limit else meta
+
+
 def _fixed(text: str, width: int, full: bool = False) -> bytes:
     if not text.isascii() or len(text) > width - (not full):
-        raise FormatError(f"{text!r} doesn't fit {width} bytes")
+        raise EncodeError(f"{text!r} doesn't fit {width} bytes")
     return text.encode().ljust(width, b"\0")
 
 

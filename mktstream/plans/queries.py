@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mktstream.functions import scalar as S
 from mktstream.functions import values as V
 from mktstream.operators import filters, merge, split, symbology
+from mktstream.operators.running import numbered
+from mktstream.plans import files
 from mktstream.plans import streams as R
+from mktstream.plans.metadata import Metadata
 from mktstream.plans.upgrade import error_code, stat_quantity, system_code
 
 KEY = R.TRADE_KEY
@@ -36,8 +39,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ts_recv, price,
 
 
 def symbology_inverse(spark: SparkSession, d: str) -> DataFrame:
-    spans = R.intervals(spark, d).withColumn("instrument_id", F.col("instrument_id").cast("string").cast("long"))
-    return symbology.with_symbol(R.statuses(spark, d), spans, "ts_recv").select("o_orderkey", "ts_recv", "symbol")
+    """Mappings from ids to symbols, as metadata have them whose input symbols are ids."""
+    meta = Metadata("XNAS.ITCH", 0, "raw_symbol", stype_in="instrument_id")
+    mappings = R.intervals(spark, d).select(F.col("instrument_id").cast("string").alias("raw_symbol"), "start_date", "end_date", F.col("symbol").alias("mapped"), "ordinal")
+    return symbology.with_symbol(R.statuses(spark, d), symbology.oriented(mappings, meta.is_inverse()), "ts_recv").select("o_orderkey", "ts_recv", "symbol")
 
 
 SYMBOLOGY_INVERSE = f"""WITH {I_SQL} SELECT o_orderkey, epoch_us(o_orderdate) * 1000 AS ts_recv,
@@ -63,16 +68,11 @@ SYMBOLOGY_LIVE = f"""WITH {E_SQL} SELECT event_id, instrument_id, last_value(CAS
   OVER (PARTITION BY instrument_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS symbol FROM e"""
 
 
-def positioned(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their number in the order; only so that a comparison without order sees it."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 def _merged(spark: SparkSession, d: str, hints: list[int | None] | None) -> DataFrame:
     a = R.book_events(spark, d).select("ts_recv", F.col("event_id").alias("id"))
     b = R.statuses(spark, d).select("ts_recv", F.col("o_orderkey").alias("id"))
     whole = merge.merge_streams([a, b], "ts_recv", "id", hints, ordered=False)
-    return positioned(whole, ["__key", "__stream", "__position"]).select("pos", F.col("__stream").alias("stream"), "id", "ts_recv")
+    return numbered(whole, "pos", ["__key", "__stream", "__position"]).select("pos", F.col("__stream").alias("stream"), "id", "ts_recv")
 
 
 def merge_streams(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +267,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "publishers": (publishers, _publisher_sql()),
     "char_states": (char_states, CHAR_STATES),
     "upgrade_codes": (upgrade_codes, UPGRADE_CODES),
+    **files.TABLE,
     "csv_text": (csv_text, _csv_sql()),
     "json_text": (json_text, _json_sql()),
 }

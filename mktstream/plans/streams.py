@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mktstream.sources.layouts import KIND
+
 TRADE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
@@ -34,6 +36,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Record kind by record type.
+RTYPE_OF = KIND
 #: Record type of each event type.
 EVENT_RTYPE = {"click": 0xA0, "view": 0x01, "purchase": 0x00, "signup": 0x16, "error": 0x15}
 

@@ -1,28 +1,40 @@
 """The data source `mktbin`: record files read as DataFrames or streams, and written.
 
-Options: path (a file, folder or glob that Python's open reads on every executor), schema (required, names
-the record layout), input_version (3), ts_out (false), has_metadata (sniffed), on_mismatch (skip or error:
-records of another type), slice_bytes (64 MiB: the part of an uncompressed file that one task reads); for
-writing dataset, start, end, stype_in, version, mode (`file` with metadata or `fragment`), compression
-(none or zstd).
+Options for reading: path (a file, folder or glob that Python's open reads on every executor); schema (names the
+record layout: one of the schemas, error, symbol-mapping, system, or mixed for all records as one table);
+upgrade_policy (upgrade_to_v3, upgrade_to_v2 or as_is: the version whose layout the rows have); input_version and
+ts_out (of records without metadata; without input_version the version is told from record sizes); has_metadata
+(sniffed); compression (sniffed: none or zstd); on_mismatch (skip or error: records of another type); strict (false:
+texts without end or that aren't UTF-8 are empty, else an error); position (false, or true: a column with the byte
+at which the record lies, by which a stream's order can be restored); uniform (false, or true if an uncompressed
+file holds records of one type only) and slice_bytes (64 MiB: the part of such a file that one task reads).
+
+Options for writing: schema, dataset, start, end, limit, stype_in, stype_out, symbols (JSON list), mappings (JSON,
+see mappings_of_json), version, ts_out, mode (`file` with metadata or `fragment`), compression (none or zstd).
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructType
 
 from mktstream.functions.values import SCHEMA_RTYPE
-from mktstream.plans.metadata import FormatError, Metadata
-from mktstream.sources.codec import CHUNK, compressed, from_arrow, layout_of, opened, read_metadata, runs, sniff, to_arrow
-from mktstream.sources.layouts import schema_layout, spark_schema
+from mktstream.plans.metadata import DecodeError, Metadata, mappings_of_json
+from mktstream.plans.upgrade import POLICIES, check_policy, upgrade_columns
+from mktstream.sources.codec import CHUNK, Records, compressed, from_arrow, layout_of, mixed_batch, mixed_bytes, runs, to_arrow
+from mktstream.sources.layouts import KIND, layout_name, mixed_schema, rtype_of, schema_layout, spark_schema
+
+MIXED = "mixed"
 
 
 def files_of(path: str) -> list[str]:
@@ -32,44 +44,73 @@ def files_of(path: str) -> list[str]:
     return sorted(glob.glob(local))
 
 
+def flag(options: dict, name: str) -> bool:
+    return options.get(name, "false").lower() == "true"
+
+
+def version_out(options: dict) -> tuple[int, bool]:
+    """The version of the rows, and whether they have ts_out, by the policy and the first file."""
+    policy = options.get("upgrade_policy", "upgrade_to_v3")
+    version, ts_out = options.get("input_version"), flag(options, "ts_out")
+    for path in files_of(options["path"])[:1]:
+        with open(path, "rb") as f:
+            records = Records(f, options)
+        version, ts_out = records.version, records.ts_out
+    return check_policy(policy, int(version)) if version else POLICIES.get(policy) or 3, ts_out
+
+
 class Slice(InputPartition):
     """Bytes [start, end) of a file; end None: to its end. All of a compressed file is one slice."""
 
-    def __init__(self, path: str, start: int, end: int | None, version: int, ts_out: bool, number: int):
-        self.path, self.start, self.end, self.version, self.ts_out, self.number = path, start, end, version, ts_out, number
+    def __init__(self, path: str, start: int, end: int | None, version: int | None, ts_out: bool, size: int = 0):
+        self.path, self.start, self.end, self.version, self.ts_out, self.size = path, start, end, version, ts_out, size
 
 
 class RecordDecoder:
     def __init__(self, options: dict, schema: StructType):
-        self.name_schema = options["schema"]
-        self.rtype = SCHEMA_RTYPE[self.name_schema]
-        self.strict = options.get("on_mismatch", "skip") == "error"
-        self.schema = schema
-
-    def batches(self, data: bytes, version: int, ts_out: bool) -> tuple[list[pa.RecordBatch], int]:
-        """Arrow batches of the whole records in data, and the bytes they take."""
+        self.mixed = options["schema"] == MIXED
+        self.rtype = None if self.mixed else rtype_of(options["schema"])
+        self.version = int(options["version_out"])
+        self.layout = None if self.mixed else schema_layout(options["schema"], self.version)
+        self.refuse = options.get("on_mismatch", "skip") == "error"
+        self.strict, self.position = flag(options, "strict"), flag(options, "position")
+        self.names = schema.names
+        self.schema = to_arrow_schema(StructType([f for f in schema if f.name != "position"]))
+
+    def batches(self, data: bytes, version: int | None, ts_out: bool, at: int, size: int = 0) -> tuple[list[pa.RecordBatch], int]:
+        """Arrow batches of the whole records in data, and the bytes they take; data lies at byte `at` of its stream."""
         out, used = [], 0
-        for offset, size, rtype, count in runs(data):
-            used = offset + size * count
-            if rtype != self.rtype:
-                if self.strict:
-                    raise FormatError(f"unexpected record type {rtype:#x}")
+        for run in runs(data):
+            offset, width, rtype, count = run
+            used = offset + width * count
+            if size and width != size:
+                raise DecodeError(f"records of {size} and of {width} bytes in a file read as uniform")
+            if self.rtype not in (None, rtype) or rtype not in KIND:
+                if self.refuse:
+                    raise DecodeError(f"unexpected record type {rtype:#x}")
                 continue
-            name = layout_of(rtype, size, version, ts_out)
-            columns = to_arrow(data, offset, count, name, ts_out)
-            out.append(pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count)) for f in self.schema], names=[f.name for f in self.schema]))
+            source = layout_of(rtype, width, version, ts_out)
+            if self.mixed:
+                batch = mixed_batch(data, run, layout_name(KIND[rtype], self.version), source, ts_out, self.schema, self.strict)
+            else:
+                columns = upgrade_columns(to_arrow(data, offset, count, source, ts_out, self.strict), KIND[rtype], source, self.layout)
+                batch = pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in self.schema], schema=self.schema)
+            if self.position:
+                batch = batch.append_column("position", pa.array(at + offset + width * np.arange(count, dtype=np.int64)))
+            out.append(batch.select(self.names))
         return out, used
 
 
 class BinaryReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.decoder_schema = dict(options), schema
+        self.options["version_out"] = str(version_out(options)[0])
         self.none = False
 
     def pushFilters(self, filters: list[Filter]):
         """A filter on another record type leaves nothing to read."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("rtype",) and f.value != SCHEMA_RTYPE[self.options["schema"]]:
+            if isinstance(f, EqualTo) and f.attribute == ("rtype",) and self.options["schema"] != MIXED and f.value != rtype_of(self.options["schema"]):
                 self.none = True
             yield f
 
@@ -77,74 +118,74 @@ class BinaryReader(DataSourceReader):
         if self.none:
             return []
         width, out = int(self.options.get("slice_bytes", 64 << 20)), []
-        for number, path in enumerate(files_of(self.options["path"])):
+        for path in files_of(self.options["path"]):
             with open(path, "rb") as f:
-                kind = sniff(f.peek(4))
-                whole = opened(f)
-                fragment = self.options.get("has_metadata", "").lower() == "false" or kind == "fragment"
-                meta = None if fragment else read_metadata(whole)
-                version = meta.version if meta else int(self.options.get("input_version", 3))
-                ts_out = meta.ts_out if meta else self.options.get("ts_out", "false").lower() == "true"
-                start = 0 if meta is None else len(meta.encode()) if kind == "zstd" else f.tell()
-                record = whole.read(1)
-                size = record[0] * 4 if record else 0
-            total = os.path.getsize(path)
-            uniform = kind != "zstd" and size >= 16 and self.options.get("uniform", "").lower() == "true"
-            if not uniform:
-                out.append(Slice(path, start, None, version, ts_out, number))
+                records = Records(f, self.options)
+                head = records.stream.peek(1)[:1]
+            size = head[0] * 4 if head else 0
+            if records.compressed or size < 16 or not flag(self.options, "uniform"):
+                out.append(Slice(path, records.start, None, records.version, records.ts_out))
                 continue
-            step = max(size, width // size * size)
-            out += [Slice(path, a, min(a + step, total), version, ts_out, number) for a in range(start, total, step)]
+            step, total = max(size, width // size * size), os.path.getsize(path)
+            out += [Slice(path, a, min(a + step, total), records.version, records.ts_out, size) for a in range(records.start, total, step)]
         return out
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         decoder = RecordDecoder(self.options, self.decoder_schema)
         with open(part.path, "rb") as f:
-            stream = opened(f)
-            skipped = 0
-            while skipped < part.start:
-                skipped += len(stream.read(min(CHUNK, part.start - skipped))) or part.start
-            left, held = None if part.end is None else part.end - part.start, b""
-            while True:
-                data = stream.read(CHUNK if left is None else min(CHUNK, left))
-                if not data:
-                    break
+            stream = Records(f, self.options).stream
+            if part.end is not None:
+                stream.seek(part.start)
+            at, held = part.start, b""
+            left = None if part.end is None else part.end - part.start
+            while data := stream.read(CHUNK if left is None else min(CHUNK, left)):
                 left = None if left is None else left - len(data)
                 held += data
-                batches, used = decoder.batches(held, part.version, part.ts_out)
-                held = held[used:]
+                batches, used = decoder.batches(held, part.version, part.ts_out, at, part.size)
+                held, at = held[used:], at + used
                 yield from batches
 
 
 class BinaryStreamReader(DataSourceStreamReader):
-    """One growing, uncompressed file: offsets are bytes, and an unfinished record waits for the next batch."""
+    """One growing, uncompressed file: offsets are bytes at which a record ends, so an unfinished one waits for the next batch."""
 
     def __init__(self, options: dict, schema: StructType):
         self.options, self.decoder_schema = dict(options), schema
+        self.options["version_out"] = str(version_out(options)[0])
         self.path = options["path"].removeprefix("file://")
-
-    def _begin(self) -> tuple[int, int, bool]:
-        if self.options.get("has_metadata", "true").lower() == "false":
-            return 0, int(self.options.get("input_version", 3)), self.options.get("ts_out", "false").lower() == "true"
         with open(self.path, "rb") as f:
-            meta = read_metadata(f)
-            return f.tell(), meta.version, meta.ts_out
+            records = Records(f, self.options)
+        if records.compressed:
+            raise DecodeError("a compressed file can't be followed")
+        self.begin, self.version, self.ts_out = records.start, records.version, records.ts_out
+        self.whole = self.begin
 
     def initialOffset(self) -> dict:
-        return {"at": self._begin()[0]}
+        return {"at": self.begin}
 
     def latestOffset(self) -> dict:
-        return {"at": os.path.getsize(self.path)}
+        with open(self.path, "rb") as f:
+            f.seek(self.whole)
+            held = b""
+            while data := f.read(CHUNK):
+                held += data
+                used = sum(size * count for _, size, _, count in runs(held))
+                held, self.whole = held[used:], self.whole + used
+        return {"at": self.whole}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        _, version, ts_out = self._begin()
-        return [Slice(self.path, start["at"], end["at"], version, ts_out, 0)]
+        return [Slice(self.path, start["at"], end["at"], self.version, self.ts_out)]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        decoder = RecordDecoder(self.options, self.decoder_schema)
         with open(part.path, "rb") as f:
             f.seek(part.start)
-            data = f.read(part.end - part.start)
-        yield from RecordDecoder(self.options, self.decoder_schema).batches(data, part.version, part.ts_out)[0]
+            at, held, left = part.start, b"", part.end - part.start
+            while data := f.read(min(CHUNK, left)):
+                left, held = left - len(data), held + data
+                batches, used = decoder.batches(held, part.version, part.ts_out, at)
+                held, at = held[used:], at + used
+                yield from batches
 
     def commit(self, end: dict) -> None:
         pass
@@ -167,12 +208,11 @@ class BinaryWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        name = schema_layout(self.options["schema"], int(self.options.get("version", 3)))
+        number, version, ts_out = TaskContext.get().partitionId(), int(self.options.get("version", 3)), flag(self.options, "ts_out")
         path = f"{self.folder}/{number:06}-{uuid.uuid4().hex}"
         with open(path, "wb") as f:
             for batch in batches:
-                data = from_arrow(batch, name, self.options.get("ts_out", "false").lower() == "true")
+                data = mixed_bytes(batch, version, ts_out) if self.options["schema"] == MIXED else from_arrow(batch, schema_layout(self.options["schema"], version), ts_out)
                 f.write(compressed(data) if self.options.get("compression") == "zstd" else data)
         return Written(path, number)
 
@@ -183,8 +223,7 @@ class BinaryWriter(DataSourceArrowWriter):
             raise FileExistsError(self.target)
         with open(self.target + ".new", "wb") as out:
             if o.get("mode", "file") == "file":
-                meta = Metadata(o["dataset"], int(o.get("start", 0)), schema=o["schema"], end=int(o["end"]) if "end" in o else None, stype_in=o.get("stype_in", "raw_symbol"), version=int(o.get("version", 3)), ts_out=o.get("ts_out", "false").lower() == "true")
-                head = meta.encode()
+                head = metadata_from(o).encode()
                 out.write(compressed(head) if o.get("compression") == "zstd" else head)
             for m in sorted((m for m in messages if m), key=lambda m: m.partition):
                 with open(m.path, "rb") as part:
@@ -200,14 +239,25 @@ class BinaryWriter(DataSourceArrowWriter):
             os.rmdir(self.folder)
 
 
+def metadata_from(options: dict) -> Metadata:
+    """The metadata that options for writing tell of."""
+    o, number = options, lambda name: int(options[name]) if name in options else None
+    return Metadata(
+        o["dataset"], int(o.get("start", 0)), o.get("stype_out", "instrument_id"), o["schema"] if o["schema"] in SCHEMA_RTYPE else None, number("end"), number("limit"), o.get("stype_in", "raw_symbol"),
+        flag(o, "ts_out"), int(o.get("version", 3)), tuple(json.loads(o.get("symbols", "[]"))), mappings=mappings_of_json(o.get("mappings", "{}")),
+    )
+
+
 class BinarySource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "mktbin"
 
     def schema(self) -> StructType:
-        version, ts_out = int(self.options.get("input_version", 3)), self.options.get("ts_out", "false").lower() == "true"
-        return spark_schema(schema_layout(self.options["schema"], version), ts_out)
+        version, ts_out = version_out(self.options)
+        mixed = self.options["schema"] == MIXED
+        out = mixed_schema(version, ts_out) if mixed else spark_schema(schema_layout(self.options["schema"], version), ts_out)
+        return out.add("position", LongType()) if flag(self.options, "position") else out
 
     def reader(self, schema: StructType) -> BinaryReader:
         return BinaryReader(self.options, schema)

@@ -8,22 +8,26 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from mktstream.plans.metadata import MAGIC, FormatError, Metadata
-from mktstream.sources.layouts import KIND, LAYOUTS, dtype, fields, layout_name, text_columns
+from mktstream.plans.metadata import LEGACY_MAGIC, MAGIC, DecodeError, EncodeError, Metadata
+from mktstream.plans.upgrade import upgrade_columns
+from mktstream.sources.layouts import HEADER, KIND, LAYOUTS, dtype, fields, layout_name, text_columns
 
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 CHUNK = 4 << 20
+#: Text of each byte as a one-character code; NUL stands for nothing.
+CHARACTERS = pa.array(["", *map(chr, range(1, 256))])
 
 
 def sniff(head: bytes) -> str:
-    """plain, zstd, or for records without metadata fragment."""
-    return "zstd" if head[:4] == ZSTD_MAGIC else "plain" if head[:3] == MAGIC else "fragment"
+    """legacy, plain, zstd, or for records without metadata fragment, by the first twelve bytes."""
+    if head[1:4] == b"\x2a\x4d\x18" and 0x50 <= head[0] <= 0x5F and head[8:12] == LEGACY_MAGIC:
+        return "legacy"
+    return "plain" if head[:3] == MAGIC else "zstd" if head[:4] == ZSTD_MAGIC else "fragment"
 
 
-def opened(stream: io.BufferedIOBase, compression: str | None = None) -> io.BufferedIOBase:
-    """The stream, decompressed if it is zstd (one frame or several)."""
-    head = stream.peek(4) if hasattr(stream, "peek") else b""
-    if compression == "zstd" or compression is None and head[:4] == ZSTD_MAGIC:
+def opened(stream: io.BufferedIOBase, compression: str | None = None) -> io.BufferedReader:
+    """The stream, decompressed if it is zstd (one frame or several); compression: zstd or none, else by its first bytes."""
+    if compression == "zstd" or compression is None and stream.peek(4)[:4] == ZSTD_MAGIC:
         return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True), CHUNK)
     return stream
 
@@ -31,10 +35,43 @@ def opened(stream: io.BufferedIOBase, compression: str | None = None) -> io.Buff
 def read_metadata(stream: io.BufferedIOBase) -> Metadata:
     head = stream.read(8)
     if head[:3] != MAGIC or len(head) < 8:
-        raise FormatError("no metadata at the start")
+        raise DecodeError("no metadata at the start")
     return Metadata.decode(head + stream.read(int.from_bytes(head[4:8], "little")))[0]
 
 
+class Records:
+    """An open file of records: stream stands at the first one, which lies at `start` of the decompressed bytes."""
+
+    def __init__(self, f: io.BufferedReader, options: dict):
+        kind = sniff(f.peek(12)[:12])
+        self.meta: Metadata | None = None
+        self.compressed = kind != "plain" and kind != "fragment"
+        fragment = options.get("has_metadata", "").lower() == "false"
+        if kind == "legacy":
+            self.meta = Metadata.decode_legacy(f.read(8 + int.from_bytes(f.peek(8)[4:8], "little"))[8:])
+            self.stream, self.start = opened(f, "zstd"), 0
+        else:
+            self.stream, self.start = opened(f, options.get("compression")), 0
+            self.compressed = self.stream is not f
+            if not fragment and self.stream.peek(3)[:3] == MAGIC:
+                head = self.stream.read(8)
+                length = int.from_bytes(head[4:8], "little")
+                self.meta, self.start = Metadata.decode(head + self.stream.read(length))
+            elif options.get("has_metadata", "").lower() == "true":
+                raise DecodeError("no metadata at the start")
+        #: The version of the records; None: to be told from their sizes.
+        self.version = max(1, self.meta.version) if self.meta else int(options["input_version"]) if "input_version" in options else None
+        self.ts_out = self.meta.ts_out if self.meta else options.get("ts_out", "false").lower() == "true"
+
+
+def metadata_of(path: str, options: dict | None = None) -> Metadata:
+    with open(path, "rb") as f:
+        meta = Records(f, options or {}).meta
+    if meta is None:
+        raise DecodeError(f"{path} has no metadata")
+    return meta
+
+
 def runs(data: bytes | memoryview) -> list[tuple[int, int, int, int]]:
     """(offset, record size, type, count) of each run of records of one type and size; an unfinished record at the end is left out."""
     view = np.frombuffer(data, np.uint8)
@@ -42,7 +79,7 @@ def runs(data: bytes | memoryview) -> list[tuple[int, int, int, int]]:
     while at + 16 <= n:
         size, rtype = int(view[at]) * 4, int(view[at + 1])
         if size < 16:
-            raise FormatError(f"a record of {size} bytes")
+            raise DecodeError(f"a record of {size} bytes")
         most = (n - at) // size
         if not most:
             break
@@ -54,56 +91,112 @@ def runs(data: bytes | memoryview) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def layout_of(rtype: int, size: int, version: int, ts_out: bool) -> str | None:
+def layout_of(rtype: int, size: int, version: int | None, ts_out: bool) -> str | None:
     """The layout of a type in a version, or the one that has this size; None for unknown types."""
     kind = KIND.get(rtype)
     if kind is None:
         return None
     bare = size - 8 * ts_out
-    for v in (version, 3, 2, 1):
+    for v in (version or 3, 3, 2, 1):
         name = layout_name(kind, v)
         if LAYOUTS[name][0] == bare:
             return name
-    raise FormatError(f"a record of type {rtype:#x} with {size} bytes")
+    raise DecodeError(f"a record of type {rtype:#x} with {size} bytes")
 
 
-def _column(values: np.ndarray, kind: str) -> pa.Array:
+def _column(values: np.ndarray, kind: str, strict: bool = False) -> pa.Array:
     if kind == "c":
-        return pa.array([chr(b[0]) if b else "" for b in values.tolist()], pa.string())
+        return pa.DictionaryArray.from_arrays(pa.array(values.view("u1")), CHARACTERS).cast(pa.string())
     if kind[0] == "s":
-        return pa.array([b.split(b"\0")[0].decode("utf-8", "replace") for b in values.tolist()], pa.string())
+        return _texts(values, int(kind[1:]), strict)
     wide = {"u8": np.int16, "i8": np.int16, "u16": np.int32, "i16": np.int16, "u32": np.int64, "i32": np.int32, "u64": np.int64, "i64": np.int64}[kind]
     return pa.array(values.view("<i8") if kind == "u64" else values.astype(wide))
 
 
-def to_arrow(data: bytes, offset: int, count: int, name: str, ts_out: bool) -> dict[str, pa.Array]:
+def _texts(values: np.ndarray, width: int, strict: bool) -> pa.Array:
+    """Texts up to their first NUL. One without NUL, or that isn't UTF-8, is empty, or with strict an error."""
+    grid = values.view("u1").reshape(len(values), width)
+    nul = grid == 0
+    ends = np.where(nul.any(axis=1), nul.argmax(axis=1), 0 if not strict else -1)
+    if strict and (ends < 0).any():
+        raise DecodeError("a text without its end")
+    flat = grid[np.arange(width) < ends[:, None]].tobytes()
+    offsets = np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+    try:
+        return out.cast(pa.string())
+    except pa.ArrowInvalid:
+        if strict:
+            raise DecodeError("a text that isn't UTF-8") from None
+        return pa.array([_valid(b) for b in out.to_pylist()], pa.string())
+
+
+def _valid(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return ""
+
+
+_HEADER_KINDS = {"ts_event": "u64", "rtype": "u8", "publisher_id": "u16", "instrument_id": "u32", "ts_out": "u64"}
+
+
+def to_arrow(data: bytes, offset: int, count: int, name: str, ts_out: bool, strict: bool = False) -> dict[str, pa.Array]:
     """Columns of a run of records, in text order."""
     rows = np.frombuffer(data, dtype(name, ts_out), count, offset)
-    kinds = dict(fields(name)) | {"ts_event": "u64", "rtype": "u8", "publisher_id": "u16", "instrument_id": "u32", "ts_out": "u64"}
-    return {c: _column(np.ascontiguousarray(rows[c]), kinds[c]) for c in [*text_columns(name), *(["ts_out"] if ts_out else [])]}
+    kinds = dict(fields(name)) | _HEADER_KINDS
+    return {c: _column(np.ascontiguousarray(rows[c]), kinds[c], strict) for c in [*text_columns(name), *(["ts_out"] if ts_out else [])]}
 
 
 def from_arrow(batch: pa.RecordBatch, name: str, ts_out: bool = False) -> bytes:
-    """The bytes of records whose columns are those of the layout."""
+    """The bytes of records whose columns are those of the layout. A null text is empty, a null number an error."""
     kind = dtype(name, ts_out)
     rows = np.zeros(batch.num_rows, kind)
     rows["length"] = kind.itemsize // 4
-    kinds = dict(fields(name)) | {"ts_event": "u64", "rtype": "u8", "publisher_id": "u16", "instrument_id": "u32", "ts_out": "u64"}
+    kinds = dict(fields(name)) | _HEADER_KINDS
     for c in [*text_columns(name), *(["ts_out"] if ts_out else [])]:
         values = batch.column(batch.schema.names.index(c))
-        if kinds[c] == "c":
-            rows[c] = [(v or "").encode("latin-1") for v in values.to_pylist()]
-        elif kinds[c][0] == "s":
-            width = int(kinds[c][1:])
-            texts = [(v or "").encode() for v in values.to_pylist()]
-            if any(len(t) >= width for t in texts):
-                raise FormatError(f"{c} doesn't fit {width} bytes")
-            rows[c] = texts
+        if kinds[c] == "c" or kinds[c][0] == "s":
+            known = values.fill_null("").dictionary_encode()
+            texts = [t.encode("latin-1" if kinds[c] == "c" else "utf-8") for t in known.dictionary.to_pylist()]
+            width = 1 if kinds[c] == "c" else int(kinds[c][1:]) - 1
+            if any(len(t) > width for t in texts):
+                raise EncodeError(f"{c} doesn't fit {width} bytes")
+            rows[c] = np.array(texts or [b""], kind[c])[np.asarray(known.indices)] if len(values) else []
+        elif values.null_count:
+            raise EncodeError(f"{c} is null")
         else:
             rows[c] = np.asarray(values).astype(np.int64).astype(kind[c])
     return rows.tobytes()
 
 
+def mixed_batch(data: bytes, run: tuple[int, int, int, int], layout: str, source: str, ts_out: bool, schema: pa.Schema, strict: bool = False) -> pa.RecordBatch:
+    """A run of records of one type as rows of a table of mixed types (layouts.mixed_schema)."""
+    offset, _, rtype, count = run
+    columns = upgrade_columns(to_arrow(data, offset, count, source, ts_out, strict), KIND[rtype], source, layout)
+    columns["index_ts"] = columns.get("ts_recv", columns["ts_event"])
+    own = schema.field(KIND[rtype]).type
+    columns[KIND[rtype]] = pa.StructArray.from_arrays([columns[f.name] for f in own], fields=list(own))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, None) if f.name in (*HEADER, "index_ts", "ts_out", KIND[rtype]) else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+
+def mixed_bytes(batch: pa.RecordBatch, version: int, ts_out: bool) -> bytes:
+    """The bytes of rows of a table of mixed types, run by run of one type."""
+    rtypes = np.asarray(batch.column("rtype"))
+    cuts = [0, *(np.flatnonzero(np.diff(rtypes)) + 1).tolist(), len(rtypes)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        part, kind = batch.slice(a, b - a), KIND[int(rtypes[a])]
+        own = part.column(kind)
+        columns = {c: part.column(c) for c in (*HEADER, *(["ts_out"] if ts_out else []))} | {f.name: own.field(i) for i, f in enumerate(own.type)}
+        # A slice of a struct array keeps its children whole.
+        columns = {c: v if len(v) == b - a else v.slice(own.offset, b - a) for c, v in columns.items()}
+        out.append(from_arrow(pa.RecordBatch.from_pydict(columns), layout_name(kind, version), ts_out))
+    return b"".join(out)
+
+
 def compressed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3, write_checksum=True).compress(data)
 

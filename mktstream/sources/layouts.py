@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from mktstream.functions.values import RTYPES, SCHEMA_RTYPE
@@ -315,8 +316,33 @@ def spark_schema(name: str, ts_out: bool = False) -> T.StructType:
     return out.add("ts_out", T.LongType()) if ts_out else out
 
 
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    return {"string": pa.string(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[kind.simpleString()]
+
+
+#: Records that belong to no schema can be asked for by the name of their type.
+CONTROL_RTYPE = {name: RTYPES[name] for name in ("error", "symbol-mapping", "system")}
+
+
+def rtype_of(schema: str) -> int:
+    return SCHEMA_RTYPE[schema] if schema in SCHEMA_RTYPE else CONTROL_RTYPE[schema]
+
+
 def schema_layout(schema: str, version: int = 3) -> str:
-    return layout_name(KIND[SCHEMA_RTYPE[schema]], version)
+    return layout_name(KIND[rtype_of(schema)], version)
+
+
+#: Record kinds in the order of the columns of a table of mixed types.
+KINDS = list(dict.fromkeys(KIND.values()))
+
+
+def mixed_schema(version: int = 3, ts_out: bool = False) -> T.StructType:
+    """A table of records of all types: header, the time that orders a stream, and for each kind of record a struct of
+    its further columns, null for records of other kinds."""
+    out = T.StructType([spark_schema("mbo")[c] for c in HEADER]).add("index_ts", T.LongType())
+    for kind in KINDS:
+        out.add(kind, T.StructType([f for f in spark_schema(layout_name(kind, version)) if f.name not in HEADER]))
+    return out.add("ts_out", T.LongType()) if ts_out else out
 
 
 def index_column(name: str) -> str:

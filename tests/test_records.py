@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mktstream.functions import scalar as S
+from mktstream.functions import values as V
 from mktstream.operators import filters, merge, split, symbology
 from mktstream.plans import metadata as M
 from mktstream.plans.upgrade import upgrade
@@ -160,7 +161,7 @@ def test_command_line_upgrades_old_files(spark, tmp_path):
 
     def upgraded(schema, old, version, *flags, **own):
         path, out = str(tmp_path / f"{schema}.{version}.dbn"), str(tmp_path / f"{schema}.{version}{''.join(flags)}.json")
-        frame = spark.createDataFrame([row(old, **{"rtype": cli.SCHEMA_RTYPE[schema], **own})], spark_schema(old))
+        frame = spark.createDataFrame([row(old, **{"rtype": V.SCHEMA_RTYPE[schema], **own})], spark_schema(old))
         frame.write.format("mktbin").mode("overwrite").options(schema=schema, dataset="XNAS.ITCH", start=str(EVENT), version=version).save(path)
         cli.main([path, *flags, "-o", out, "-J"], spark)
         return json.loads(open(out).read())
