@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,26 +35,76 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and the planner knows its real size."""
+@contextmanager
+def conf_of(spark: SparkSession, settings: dict[str, str]):
+    """The settings hold inside the block; what was set before holds again after it."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession):
+    """Jobs inside the block hand Python few rows at once, so texts and bitmaps take little memory on either side."""
+    return conf_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
+
+
+#: How many rows a file of an intermediate table takes at least, where a bound of their number is known beforehand.
+ROWS_PER_FILE = 50_000
+
+
+def few(df: DataFrame, rows: int | None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """df in no more partitions than its at most so many rows call for; None: as it is."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // per_file)))
+
+
+def written(df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, and the planner knows its real size.
+
+    rows: what df has at most. Tables of few rows then take few files, however many partitions a shuffle has.
+    """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    few(df, rows, per_file).write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def counted(df: DataFrame, label: str, *metrics: Column, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> tuple[DataFrame, dict]:
+    """written(), with the number of rows and further sums that are taken as the rows are written, without a job of their own."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), label, rows, per_file)
+    return table, seen.get
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by fresh_path, whatever the store."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables from written() that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: A table with fewer rows, each of some fixed small width, may be broadcast.
-BROADCAST_ROWS = 100_000
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage between the phases of a long job.
+
+    Spark removes the shuffle files and broadcasts of finished plans only when the driver's heap lets go of them, which may be
+    much later; until then they fill the executors' disks, and the driver's heap keeps growing.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
-def broadcast_below(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a written table of narrow rows, with a broadcast hint if its row count is below the bound."""
-    return F.broadcast(df) if df.count() < rows else df
+#: A table whose rows take fewer bytes together may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, with a broadcast hint if these stay below the bound; a column counts 32 bytes, so it is for narrow rows."""
+    return F.broadcast(df) if rows * len(df.columns) * 32 < BROADCAST_BYTES else df
 
 
 def ascii_lower(text: Column) -> Column:
@@ -64,3 +115,13 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column of a table has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktstream.llm.common import ascii_lower, fresh_path, written
+from mktstream.llm.common import ascii_lower, conf_of, fresh_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -18,19 +16,6 @@ STATE_CONF = {
 }
 
 
-@contextmanager
-def conf_of(spark: SparkSession, settings: dict[str, str]):
-    """The settings hold inside the block; what was set before holds again after it."""
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 

@@ -12,24 +12,27 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mktstream.llm.common import broadcast_below, written
-from mktstream.llm.graph import components
+from mktstream.llm.common import broadcast_below, counted, dropped, few, small_batches, tidy, written
+from mktstream.llm.graph import Forest, contracted, stars, with_roots
 from mktstream.llm.vectors import summed
 
 SKETCH_BITS = 20
 FAN_OUT = 8
 #: A set's bitmap has twice as many bits as elements, between these.
 LEAST_BITS, MOST_BITS = 256, 1 << 15
-#: A block with more sets is dealt out in chunks of about so many.
-CHUNK = 512
+#: A block with more sets, or with more shingles in them, is dealt out in chunks of about so many.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Rows of texts or bitmaps that a task turns into Python values at once.
+SLICE = 256
 #: Up to so many sets are compared one by one rather than by a tree, and so many tested pairs are remembered.
 FEW, TESTED = 4, 300_000
 FILTER_BITS = 24
@@ -171,49 +174,55 @@ def spread_where(table: DataFrame, words: np.ndarray) -> DataFrame:
     return table.select("sid", "n", "tokens").mapInArrow(run, "token bigint, sid bigint, n bigint")
 
 
-def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int) -> DataFrame:
-    """(sid, block): sets that may link, directly or through others, lie in one block; others are left out.
+def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: int) -> DataFrame:
+    """Stars (u, v) of sids: sets that may link, directly or through others, lie under one v; others are left out.
 
     A prefix shingle of two sets is a pair at once. For one of more, a signature tree over the bitmaps of its
     sets gives the pairs that may link, less those that connect nothing new. One of more than `limit` sets
     ties all its sets to the smallest instead, which only makes the block larger: one row for each set,
-    none for each pair. Smallest and largest are partial aggregates, and copies of a set have one sid, so a
-    hot shingle comes to its task as a row from each task before. Rows of shingles of one or two sets don't
-    travel again: a bit filter of fixed size leaves them out before the second shuffle.
+    none for each pair; the trees inside the block then see to the pairs. Smallest and largest are partial
+    aggregates, and copies of a set have one sid, so a hot shingle comes to its task as a row from each task
+    before. Rows of shingles of one or two sets don't travel again: a bit filter of fixed size leaves them
+    out before the second shuffle. tokens: how many rows the prefixes have in all.
     """
-    spread = table.select(F.explode("tokens").alias("token"), F.struct("sid", "n").alias("s"))
-    shared = spread.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("z"), F.count(F.lit(1)).alias("rows")).where("a.sid < z.sid")
-    shared = written(shared, "shared-shingles")
-    fits = (F.col("n") * rule.den >= F.col("m") * rule.num) & (F.col("m") * rule.den >= F.col("n") * rule.num)
-    two = shared.where("rows = 2").select("a.sid", "a.n", F.col("z.sid").alias("tid"), F.col("z.n").alias("m")).where(fits).select("sid", "tid").distinct()
+    spread = table.select(F.explode("tokens").alias("token"), "sid")
+    shared = spread.groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("tid"), F.count(F.lit(1)).alias("rows")).where("sid < tid")
+    shared, of_shared = counted(shared, "shared-shingles", F.coalesce(F.sum(F.when(F.col("rows") > 2, F.col("rows"))), F.lit(0)).alias("more"), rows=tokens)
+    two = shared.where("rows = 2").select("sid", "tid").distinct()
     bits = sets.select("sid", "n", "bits")
     other = bits.toDF("tid", "m", "other")
-    direct = two.join(bits, "sid").join(other, "tid").select("sid", "n", "bits", "tid", "m", "other").mapInArrow(direct_pairs(rule), "a bigint, b bigint")
+    direct = two.join(bits, "sid").join(other, "tid").select("sid", "n", "bits", "tid", "m", "other").mapInArrow(direct_pairs(rule), "u bigint, v bigint").toDF("a", "b")
 
     more = shared.where("rows > 2").select("token")
-    postings = written(spread_where(table, token_filter(more)).join(more, "token").distinct(), "postings")
-    tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
-    told = postings.join(tokens, "token")
+    postings, of_postings = counted(spread_where(table, token_filter(more)).join(more, "token").distinct(), "postings", rows=of_shared["more"])
+    per_token = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
+    told = postings.join(per_token, "token")
     ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
     small = told.where(F.col("many") <= limit).join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
-    pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "a bigint, b bigint")
-    return components(pairs.unionAll(ties).unionAll(direct)).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+    pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "u bigint, v bigint").toDF("a", "b")
+    edges, _ = stars(pairs.unionAll(ties).unionAll(direct), rows=of_shared["rows"] + of_postings["rows"])
+    dropped(shared, postings)
+    return edges
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches as Python values, few at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, SLICE).columns])
 
 
 def direct_pairs(rule: Rule):
-    """For mapInArrow over pairs of (sid, n, bits): those that may link."""
+    """For mapInArrow over pairs of (sid, n, bits): those that may link, contracted to stars."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*[c.to_pylist() for c in batch.columns])
-            out = [(s, t) for s, n, x, t, m, y in rows if pair_may_link(n, x, m, y, rule)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        return contracted(([(s, t)] for s, n, x, t, m, y in sliced(batches) if pair_may_link(n, x, m, y, rule)), pa.int64())
 
     return run
 
 
 def candidate_pairs(rule: Rule):
-    """For mapInArrow over (token, sid, n, bits) sorted by token: (a, b), sids that may link."""
+    """For mapInArrow over (token, sid, n, bits) sorted by token: sids that may link, contracted to stars."""
 
     def pairs(sids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
         if len(sids) < 2:
@@ -225,7 +234,7 @@ def candidate_pairs(rule: Rule):
 
     tested: set[tuple[int, int]] = set()
 
-    def new_pairs(group: tuple[list, list, list]) -> list[tuple[int, int]]:
+    def new_pairs(group: list[list]) -> list[tuple[int, int]]:
         sids, sizes, maps = group
         if len(sids) > FEW:
             return pairs(*group)
@@ -243,20 +252,8 @@ def candidate_pairs(rule: Rule):
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, group = None, ([], [], [])
-        for batch in batches:
-            out = []
-            for t, sid, n, bits in zip(*[c.to_pylist() for c in batch.columns]):
-                if t != token:
-                    if len(group[0]) > 1:
-                        out += new_pairs(group)
-                    token, group = t, ([], [], [])
-                group[0].append(sid)
-                group[1].append(n)
-                group[2].append(bits)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        out = new_pairs(group)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        groups = (list(map(list, zip(*rows)))[1:] for _, rows in groupby(sliced(batches), key=lambda row: row[0]))
+        return contracted((new_pairs(g) for g in groups if len(g[0]) > 1), pa.int64())
 
     return run
 
@@ -368,50 +365,93 @@ def tree_links(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = No
     return traverse(tree(left), tree(right), rule, groups, linked)
 
 
-def grouped_links(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
-    """Links (a, b) inside each group of rows of equal keys.
+def by_group(rows: DataFrame, keys: list[str], columns: list[str], of_group, schema: str) -> DataFrame:
+    """What of_group yields for each group of rows of equal keys, from an iterator over its rows (columns).
 
-    rows: keys, doc, text, set, comp (known component, or the document itself) and side (0: both, 1: left,
-    2: right). Rows stream in sorted by key and one group is held at a time; a row whose text isn't that of
-    its set (identifiers may repeat) is left out.
+    Rows stream in sorted by key, so a group's rows are taken one by one as they come.
     """
-    names = [*keys, "doc", "text", "set", "comp", "side"]
     n = len(keys)
 
-    def links(group: list[tuple]) -> list[tuple[object, object]]:
-        docs, sets, comps, sides, seen = [], [], [], [], set()
-        for doc, text, digest, comp, side in group:
-            h = shingles(text, rule.words)
-            if len(h) and xxhash.xxh3_128_digest(h.tobytes()) == digest and (doc, side) not in seen:
-                seen.add((doc, side))
-                docs.append(doc)
-                sets.append(h)
-                comps.append(comp)
-                sides.append(side)
-        if not any(sides):
-            found = tree_links(sets, rule, comps) if len(sets) > 1 else []
-        else:
-            found = tree_links(sets, rule, comps, [i for i, s in enumerate(sides) if s == 1], [i for i, s in enumerate(sides) if s == 2])
-        return [(docs[i], docs[j]) for i, j in found]
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
-        for batch in batches:
-            out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:n] != at:
-                    out += links(group)
-                    at, group = row[:n], []
-                group.append(row[n:])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], batch.schema.field("doc").type) for k in (0, 1)], ["a", "b"])
-        if group:
-            out = links(group)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k in (0, 1)], ["a", "b"])
-
-    ids = rows.schema["doc"].dataType
-    kind = pa.int64() if ids.simpleString() == "bigint" else pa.int32() if ids.simpleString() == "int" else pa.string()
-    dealt = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, T.StructType([T.StructField("a", ids), T.StructField("b", ids)]))
+        held: list[tuple] = []
+        for key, group in groupby(sliced(batches), key=lambda row: row[:n]):
+            held += of_group(key, (row[n:] for row in group))
+            if len(held) > 10_000:
+                yield made(held)
+                held = []
+        yield made(held)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+    fields = [f.split(" ") for f in schema.split(", ")]
+    names = [name for name, _ in fields]
+    kinds = [{"binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32()}[kind] for _, kind in fields]
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+TOLD = ["set", "comp", "side", "text"]
+
+
+class Group:
+    """The sets of one group. Texts are hashed as they come; one that isn't that of its set (identifiers may repeat) is left out."""
+
+    def __init__(self, rows: Iterable[tuple], words: int):
+        self.digests, self.sets, self.comps, self.sides, seen = [], [], [], [], set()
+        for digest, comp, side, text in rows:
+            h = shingles(text, words)
+            if len(h) and (digest, side) not in seen and xxhash.xxh3_128_digest(h.tobytes()) == digest:
+                seen.add((digest, side))
+                self.digests.append(digest)
+                self.sets.append(h)
+                self.comps.append(comp)
+                self.sides.append(side)
+
+
+def local_roots(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
+    """(set, root) for each set of a group (rows: keys and TOLD) that links reach from a smaller one in it: the smallest of these."""
+
+    def of_group(key: tuple, group: Iterable[tuple]) -> list[tuple]:
+        g, forest = Group(group, rule.words), Forest()
+        for i, j in tree_links(g.sets, rule, g.comps) if len(g.sets) > 1 else []:
+            forest.join(g.comps[i], g.comps[j])
+        return forest.ends()
+
+    return by_group(rows, keys, TOLD, of_group, "set binary, root binary")
+
+
+def links_across(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
+    """Links (a, b) of known components between the sets of side 1 and those of side 2 of each group, without those that connect nothing new."""
+
+    def of_group(key: tuple, group: Iterable[tuple]) -> list[tuple]:
+        g = Group(group, rule.words)
+        left, right = [i for i, s in enumerate(g.sides) if s == 1], [i for i, s in enumerate(g.sides) if s == 2]
+        return [(g.comps[i], g.comps[j]) for i, j in tree_links(g.sets, rule, g.comps, left, right)]
+
+    return by_group(rows, keys, TOLD, of_group, "a binary, b binary")
+
+
+def candidates_across(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
+    """The keys of groups, with the sets of side 2 of which the bitmaps allow a link to a set of side 1 and of another component."""
+
+    def of_group(key: tuple, group: Iterable[tuple]) -> list[tuple]:
+        sets, comps, sizes, maps, sides = map(list, zip(*group))
+        left, right = [i for i, s in enumerate(sides) if s == 1], [i for i, s in enumerate(sides) if s == 2]
+        if not left or not right:
+            return []
+        arrays = [np.frombuffer(m, np.uint64) for m in maps]
+        words = min(map(len, arrays))
+        tree = lambda members: SignatureTree(members, np.stack([folded(arrays[i], words) for i in members]), np.array([sizes[i] for i in members]))
+        found: set[int] = set()
+
+        def linked(i: int, j: int) -> bool:
+            found.add(j)
+            return False
+
+        traverse(tree(left), tree(right), rule, comps, linked)
+        return [(*key, sets[j]) for j in sorted(found)]
+
+    return by_group(rows, keys, ["set", "comp", "n", "bits", "side"], of_group, "block bigint, band int, part int, rest_band int, rest_part int, set binary")
 
 
 def similar(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -422,78 +462,143 @@ def similar(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     words (null, empty, blank) have no shingles and stay alone. Rows with a null identifier are counted but
     linked with nothing and have no component. Rows that repeat an identifier are each rated by their own
     text. Long texts are read whole; an empty table gives no rows; further columns aren't read.
+    """
+    return similar_sets(docs, rule, id_col, text_col, chunk).select("doc_id", "n_shingles", "component_id")
+
 
-    Equal sets are one set from the start. A block beyond `chunk` sets is dealt out by size class and hash:
-    (1) links inside each chunk; (2) one set of each component of each chunk, dealt out again, which joins
-    the parts of a large family; (3) what lies outside a block's largest component against all chunks of
-    neighbouring size classes. So no task holds more than about two chunks, and no link is lost.
+def similar_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
+    """similar() with the column `set`, the 128-bit hash of the row's shingles.
+
+    Equal sets are one set from the start, and links are between sets. A block beyond `chunk` sets or
+    CHUNK_SHINGLES shingles is dealt out by size class and hash: (1) components inside each chunk; (2) one set
+    of each of these, dealt out again, which joins the parts of a large family; (3) what lies outside a
+    block's largest component against the chunks of neighbouring size classes that the bitmaps leave. So no
+    task holds more than about two chunks, and no link is lost.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _similar_sets(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), rule, chunk)
+
+
+def _similar_sets(rows: DataFrame, rule: Rule, chunk: int) -> DataFrame:
     counts = sketch(rows.select("text"), rule)
-    table = written(signatures(rows, counts, rule, "doc", "text"), "signatures")
+    sums = [F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("tokens")]
+    table, of_table = counted(signatures(rows, counts, rule, "doc", "text"), "signatures", *sums)
     named = table.where("doc is not null and n > 0")
-    sets = written(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets")
-    block = written(blocks(named, sets, rule, chunk), "blocks")
-    ratio = math.log(rule.den / rule.num)
-    step = F.floor(F.ln("n") / F.lit(ratio)).cast("int")
-    members = sets.join(block, "sid").select("set", "doc", "block", step.alias("class"))
-    size = F.col("many")
-    per_class = members.groupBy("block", "class").agg(F.count(F.lit(1)).alias("of_class"))
-    of_block = per_class.groupBy("block").agg(F.sum("of_class").alias("many"))
-    dealt = per_class.join(of_block, "block").where("many > 1")
-    dealt = dealt.select("block", "class", size, F.ceil(F.col("of_class") / chunk).cast("int").alias("parts"))
-    part = F.when(size <= chunk, 0).otherwise(F.pmod(F.xxhash64("set"), F.col("parts"))).cast("int")
-    members = members.join(dealt, ["block", "class"]).withColumn("part", part).withColumn("band", F.when(size <= chunk, -1).otherwise(F.col("class")))
-    members = written(members.select("set", "doc", "block", "many", "band", "part"), "members")
+    sets, of_sets = counted(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets", rows=of_table["rows"], per_file=10_000)
+    edges = blocks(named, sets, rule, chunk, of_table["tokens"])
+    block = with_roots(edges).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+    step = F.floor(F.ln("n") / F.lit(math.log(rule.den / rule.num))).cast("int")
+    members = sets.join(block, "sid").select("set", "doc", "n", "bits", "block", step.alias("class"))
+    per_class = members.groupBy("block", "class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    of_block = per_class.groupBy("block").agg(((F.sum("sets") > chunk) | (F.sum("shingles") > CHUNK_SHINGLES)).alias("large"))
+    dealt = per_class.join(of_block, "block").select("block", "class", "large", parts_for(F.col("sets"), F.col("shingles"), chunk).alias("parts"))
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("set"), F.col("parts"))).otherwise(0).cast("int")
+    members = members.join(dealt, ["block", "class"]).withColumn("part", part).withColumn("band", F.when(F.col("large"), F.col("class")).otherwise(-1))
+    sums = F.coalesce(F.sum((F.col("band") >= 0).cast("int")), F.lit(0)).alias("large")
+    members, of_members = counted(members.select("set", "doc", "n", F.when(F.col("large"), F.col("bits")).alias("bits"), "block", "band", "part"), "members", sums, rows=of_sets["rows"], per_file=10_000)
+    dropped(edges)
+    tidy(rows.sparkSession)
     texts = rows.where("doc is not null")
 
-    def told(parts: DataFrame, comp: str, keys: list[str], side: int = 0) -> DataFrame:
-        return texts.join(broadcast_below(parts), "doc").select(*keys, "doc", "text", "set", F.col(comp).alias("comp"), F.lit(side).alias("side"))
-
-    links = written(grouped_links(told(members, "doc", ["block", "band", "part"]), ["block", "band", "part"], rule), "links")
-    large = members.where("band >= 0")
-    if not large.isEmpty():
-        links = written(links.unionAll(large_links(large, links, told, rule, chunk)), "links")
-    label = components(links).select(F.col("node").alias("doc"), F.col("label").alias("component"))
-    of_set = sets.join(label, "doc", "left").select("set", F.coalesce("component", "doc").alias("component"))
-    placed = table.join(of_set, "set", "left")
+    def told(parts: DataFrame, comp: str, keys: list[str], side: int = 0, rows: int = of_members["rows"]) -> DataFrame:
+        return texts.join(broadcast_below(parts.select("doc", "set", F.col(comp).alias("comp"), *keys), rows), "doc").select(*keys, "set", "comp", F.lit(side).alias("side"), "text")
+
+    keys = ["block", "band", "part"]
+    roots = written(local_roots(told(members, "set", keys), keys, rule), "roots", rows=of_members["rows"], per_file=CHUNK)
+    labels = with_roots(roots.toDF("u", "v"))
+    if of_members["large"]:
+        large = members.where("band >= 0")
+        small = labels.join(large, labels["node"] == large["set"], "left_anti")
+        labels = small.unionAll(with_roots(large_stars(large, roots, told, rule, chunk, of_members["large"])))
+    first = sets.join(labels, sets["set"] == labels["node"]).groupBy("label").agg(F.min("doc").alias("component"))
+    of_set = labels.join(first, "label").select("node", "component")
+    of_set = sets.join(of_set, sets["set"] == of_set["node"], "left").select("set", F.coalesce("component", "doc").alias("component"))
+    placed = few(table.join(of_set, "set", "left"), of_table["rows"])
     own = F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.col("component"))
-    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "set")
+
 
+def parts_for(sets: Column, shingles_: Column, chunk: int) -> Column:
+    """How many chunks so many sets with so many shingles in all call for."""
+    return F.greatest(F.ceil(sets / chunk), F.ceil(shingles_ / CHUNK_SHINGLES)).cast("int")
 
-def large_links(large: DataFrame, links: DataFrame, told, rule: Rule, chunk: int) -> DataFrame:
-    """The links of large blocks that chunk-wise search leaves open: steps 2 and 3 of similar."""
 
-    def with_component(found: DataFrame) -> DataFrame:
-        label = components(found).select(F.col("node").alias("doc"), "label")
-        return large.join(label, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label")
+def large_stars(large: DataFrame, roots: DataFrame, told, rule: Rule, chunk: int, rows: int) -> DataFrame:
+    """(u, v) of the components of large blocks: steps 2 and 3 of similar_sets, after the roots of step 1."""
 
-    first = with_component(links)
-    heads = first.groupBy("block", "band", "part", "comp").agg(F.min(F.struct("doc", "set")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    spread = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    heads = heads.join(spread, "block").select("block", F.col("h.doc").alias("doc"), F.col("h.set").alias("set"), "comp", F.pmod(F.xxhash64("h.set"), "parts").alias("part"))
-    heads = written(heads, "heads")
-    joined = written(grouped_links(told(heads, "comp", ["block", "part"]), ["block", "part"], rule), "links")
+    def relabelled(table: DataFrame, old: str, new: DataFrame) -> DataFrame:
+        """Column old becomes its root in new (set, root), where it has one."""
+        return table.join(new.toDF("__set", "__root"), F.col(old) == F.col("__set"), "left").withColumn(old, F.coalesce("__root", old)).drop("__set", "__root")
 
-    now = written(with_component(links.unionAll(joined)), "large")
+    first = relabelled(large.withColumn("comp", F.col("set")), "comp", roots)
+    heads = first.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("block").alias("of_block"), "comp")
+    heads = large.join(heads, (F.col("block") == F.col("of_block")) & (F.col("set") == F.col("comp"))).select("block", "doc", "set", "n", "comp")
+    spread = heads.groupBy("block").agg(parts_for(F.count(F.lit(1)), F.sum("n"), chunk).alias("parts"))
+    heads = heads.join(spread, "block").select("block", "doc", "set", "comp", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"))
+    heads, of_heads = counted(heads, "heads", rows=rows)
+    joined = written(local_roots(told(heads, "comp", ["block", "part"], rows=of_heads["rows"]), ["block", "part"], rule), "roots", rows=of_heads["rows"], per_file=CHUNK)
+
+    now = written(relabelled(first, "comp", joined), "large", rows=rows, per_file=10_000)
     by_component = now.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = by_component.groupBy("block").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
     rest = now.join(main, "block").where("comp <> main").drop("main")
-    rest_parts = rest.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    rest_parts = rest.groupBy("block", "band").agg(parts_for(F.count(F.lit(1)), F.sum("n"), chunk).alias("parts"))
     rest = rest.join(rest_parts, ["block", "band"]).withColumn("rest_part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
-    rest = written(rest.select("block", "doc", "set", "comp", F.col("band").alias("rest_band"), "rest_part"), "rest")
+    rest, of_rest = counted(rest.select("block", "doc", "set", "n", "bits", "comp", F.col("band").alias("rest_band"), "rest_part"), "rest", rows=rows, per_file=10_000)
+    links, of_links = links_of_rest(now, rest, told, rule, chunk, rows) if of_rest["rows"] else (None, {"rows": 0})
+    if of_links["rows"]:
+        linked, _ = stars(links, rows=of_links["rows"])
+        now = relabelled(now, "comp", linked.select("u", "v"))
+    done = written(now.where("comp <> set").select(F.col("set").alias("u"), F.col("comp").alias("v")), "stars", rows=rows)
+    dropped(heads, joined, rest)
+    tidy(large.sparkSession)
+    return done
+
+
+def links_of_rest(now: DataFrame, rest: DataFrame, told, rule: Rule, chunk: int, rows: int) -> tuple[DataFrame, dict]:
+    """Links (a, b) between components: step 3 of similar_sets."""
     here = now.select("block", "band", "part").distinct()
     there = rest.select("block", "rest_band", "rest_part").distinct()
     # Sets that link lie at most one class apart, two with what rounding may add.
-    tasks = written(here.join(there, "block").where("abs(band - rest_band) <= 2"), "tasks")
-    keys = ["block", "band", "part", "rest_band", "rest_part"]
-    left = told(written(now.join(tasks, ["block", "band", "part"]), "left"), "comp", keys, 1)
-    right = told(written(rest.join(tasks, ["block", "rest_band", "rest_part"]), "right"), "comp", keys, 2)
-    return joined.unionAll(grouped_links(left.unionAll(right), keys, rule))
+    tasks, of_tasks = counted(here.join(there, "block").where("abs(band - rest_band) <= 2"), "tasks", rows=rows)
+    keys, seen = ["block", "band", "part", "rest_band", "rest_part"], ["set", "comp", "n", "bits"]
+    left = now.join(tasks, ["block", "band", "part"]).select(*keys, *seen, F.lit(1).alias("side"))
+    right = rest.join(tasks, ["block", "rest_band", "rest_part"]).select(*keys, *seen, F.lit(2).alias("side"))
+    found, of_found = counted(candidates_across(left.unionAll(right), keys, rule), "candidates", rows=of_tasks["rows"], per_file=8)
+    if not of_found["rows"]:
+        return found, of_found
+    left = now.join(found.select(*keys).distinct(), ["block", "band", "part"]).select("doc", "set", "comp", *keys)
+    right = rest.join(found, ["block", "rest_band", "rest_part", "set"]).select("doc", "set", "comp", *keys)
+    left, of_left = counted(left, "left", rows=of_found["rows"] * chunk)
+    links = links_across(told(left, "comp", keys, 1, of_left["rows"]).unionAll(told(right, "comp", keys, 2, of_found["rows"])), keys, rule)
+    out = counted(links, "links", rows=of_left["rows"], per_file=chunk)
+    dropped(tasks, found, left)
+    return out
 
 
 def without_near_copies(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs but those whose text links to one with a smaller identifier, directly or through others."""
-    found = similar(docs, rule, id_col, text_col)
-    lost = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct(), "near-copies")
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    """The rows and columns of docs but those whose text links to one with a smaller identifier, directly or through others.
+
+    Null, empty and blank texts link to nothing and stay, as do rows with a null identifier. Rows that repeat an
+    identifier are each rated by their own text; equal ones of one identifier are one document, and stay or
+    go together. An empty table stays empty; long texts are read whole; further columns pass through whatever their names.
+    """
+    found = similar_sets(docs, rule, id_col, text_col).where("doc_id is not null")
+    lost = F.col("component_id") < F.col("doc_id")
+    per_id = found.groupBy("doc_id").agg(F.min(lost).alias("all_lost"), F.collect_set(F.when(lost, F.col("set"))).alias("sets")).where(F.size("sets") > 0)
+    per_id = per_id.select(F.col("doc_id").alias("__lost"), "all_lost", F.when(~F.col("all_lost"), F.col("sets")).alias("sets"))
+    per_id, seen = counted(per_id, "near-copies", F.coalesce(F.sum((~F.col("all_lost")).cast("int")), F.lit(0)).alias("mixed"))
+    kept = docs.join(per_id.select("__lost"), docs[id_col] == F.col("__lost"), "left_anti")
+    if not seen["mixed"]:
+        return kept
+    # Of these identifiers some rows go and others stay, so their texts are looked at again.
+    mixed = docs.join(per_id.where("not all_lost").select("__lost", F.col("sets").alias("__sets")), docs[id_col] == F.col("__lost"))
+    at, sets_at, width = docs.columns.index(text_col), len(docs.columns) + 1, len(docs.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [xxhash.xxh3_128_digest(shingles(v.as_py(), rule.words).tobytes()) for v in batch.column(at)]
+            stay = pa.array([d not in s for d, s in zip(digests, batch.column(sets_at).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(stay) for c in batch.columns[:width]], schema=pa.schema(list(batch.schema)[:width]))
+
+    return kept.unionAll(mixed.mapInArrow(run, docs.schema))
