@@ -153,7 +153,8 @@ def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
     Returns id_col and n_tokens, and with digests ids_sha256 and decoded_sha256, else ids (array of int) and
     round_trip (whether the decoded text is the text). A null text counts as empty: no ids. Repeated rows are
-    encoded each; other columns aren't read, so clashing names do no harm. There is no shuffle, and a lost
+    encoded each; very long texts are encoded whole, in time that grows with their pre-tokens; of pairs that tie in rank the leftmost
+    is merged first; an empty table gives no rows; other columns aren't read, so clashing names do no harm. There is no shuffle, and a lost
     task is redone from its input alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
