@@ -10,7 +10,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from mktstream.llm.common import written
 
 #: 1: the word counts, 0: any word may stand there. Every overlap of MIN_WORDS words or more with MIN_SHARE equal
 #: holds one of these, wherever its other words stand.
@@ -20,6 +25,8 @@ MIN_SHARE = 0.8
 BLOCK_WORDS = 2_000_000
 CHUNK_WORDS = 16_384
 CACHE_WORDS = 100_000
+#: A seed that stands at more places of items is looked up by distances.
+OFTEN = 64
 FILTER_BITS = 22
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -116,6 +123,10 @@ class Benchmark:
             if not len(places):
                 continue
             lo, hi = np.searchsorted(keys, s[places], "left"), np.searchsorted(keys, s[places], "right")
+            often = hi - lo > OFTEN
+            if often.any():
+                found += [self.often(places[often & (lo == k)], starts, item[k:e], at[k:e]) for k, e in sorted({*zip(lo[often].tolist(), hi[often].tolist())})]
+                places, lo, hi = places[~often], lo[~often], hi[~often]
             n = hi - lo
             seed = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             place = np.repeat(places, n)
@@ -123,6 +134,22 @@ class Benchmark:
             found.append(np.unique(np.stack([text, item[seed], place - starts[text] - at[seed]], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    @staticmethod
+    def often(places: np.ndarray, starts: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """hits() of one seed that stands at many places of items, as where a word or a phrase goes on and on.
+
+        Of the places in a text and in an item only the distances count, and there are no more of these than the two have words;
+        a convolution tells which there are without going through all pairs.
+        """
+        out = [np.zeros((0, 3), np.int64)]
+        text = np.searchsorted(starts, places, "right") - 1
+        for t in np.unique(text):
+            here = places[text == t] - starts[t]
+            for i in np.unique(item):
+                d = distances(here, at[item == i])
+                out.append(np.stack([np.full(len(d), t), np.full(len(d), i), d], 1))
+        return np.concatenate(out)
+
     def overlaps(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
         """For each text item -> (place, words, equal words) of its longest overlap with it that passes."""
         hs = [word_hashes(text) for text in texts]
@@ -159,6 +186,18 @@ class Benchmark:
         yield from self.overlaps(held)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct differences between elements of a and of b."""
+    if len(a) * len(b) <= 1 << 16:
+        return np.unique(a[:, None] - b[None, :])
+    low, high = a.min(), b.max()
+    x, y = np.zeros(a.max() - low + 1), np.zeros(high - b.min() + 1)
+    x[a - low], y[high - b] = 1, 1
+    n = len(x) + len(y) - 1
+    both = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(y, n), n)
+    return np.flatnonzero(both > 0.5) + low - high
+
+
 def longest(same: np.ndarray) -> tuple[int, int, int]:
     """Start, length and number of equal places of the longest run that starts and ends equal with MIN_SHARE equal."""
     ones = np.flatnonzero(same)
@@ -179,7 +218,7 @@ def longest(same: np.ndarray) -> tuple[int, int, int]:
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Benchmark]:
-    """The items in blocks of at most BLOCK_WORDS words; however many there are, one block is held at a time."""
+    """The items in blocks of about BLOCK_WORDS words. They come through the driver partition by partition, which holds two blocks at most."""
     held, n = [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
         if row[1]:
@@ -192,24 +231,28 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Benc
         yield Benchmark(held)
 
 
+def arrow_of(schema: T.StructType, name: str) -> pa.DataType:
+    return to_arrow_type(schema[name].dataType)
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each row of docs and benchmark item that it overlaps: the longest overlap.
 
     Returns id_col, item_col, first_word (of the overlap in the text, words that are only punctuation not
     counted), n_words and n_equal. Words are compared without case and outer punctuation; at least MIN_WORDS
     words from an equal one to an equal one, of which MIN_SHARE are equal, make an overlap; of a shorter item
-    all its words are compared, of which MIN_SHARE must be equal. Spaced seeds propose all such places. Null and empty texts and items overlap nothing; repeated
-    rows report each; an empty table gives no rows; further columns aren't read. Each block of the benchmark
-    is one pass over docs without a shuffle.
+    all its words are compared, of which MIN_SHARE must be equal. Spaced seeds propose all such places. Of overlaps of an item that
+    tie in words and equal words one is given. Null and empty texts and items overlap nothing; repeated
+    rows report each; an empty table gives no rows; long texts are read whole; further columns aren't read.
+
+    Each block of the benchmark is one pass over docs without a shuffle. If there are several, what each finds is
+    written before the next one is made, so one block at a time is held.
     """
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, first_word bigint, n_words bigint, n_equal bigint"
-    item_type = pa.int64() if benchmark.schema[item_col].dataType.simpleString() == "bigint" else pa.string()
-    names = [id_col, item_col, "first_word", "n_words", "n_equal"]
+    fields = [docs.schema[id_col], benchmark.schema[item_col], *(T.StructField(n, T.LongType()) for n in ("first_word", "n_words", "n_equal"))]
+    names, item_type = [f.name for f in fields], arrow_of(benchmark.schema, item_col)
     rows = docs.select(id_col, text_col)
 
-    def against(block: Benchmark) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
+    def against(shared: Broadcast) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
@@ -221,17 +264,35 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                 columns = [pa.array([f[k] for f in found], pa.int64() if k else item_type) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, T.StructType(fields))
+
+    parts = []
+    for shared, last in shared_blocks(benchmark, item_col, item_text_col):
+        parts.append(against(shared) if last else written(against(shared), "overlaps"))
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], T.StructType(fields))
 
-    parts = [against(b) for b in blocks_of(benchmark, item_col, item_text_col)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+def shared_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block as a broadcast, and whether it is the last. All but the last are gone when the next one is asked for."""
+    context, held = benchmark.sparkSession.sparkContext, None
+    for block in blocks_of(benchmark, id_col, text_col):
+        if held is not None:
+            shared = context.broadcast(held)
+            yield shared, False
+            shared.destroy()
+        held = block
+    if held is not None:
+        yield context.broadcast(held), True
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that overlap no benchmark item, with all their columns."""
+    """The rows of docs that overlap no benchmark item, with all their columns, whatever their names.
+
+    Overlaps are those of contaminations(). Null and empty texts stay; repeated rows stay or go together; an empty table
+    stays empty; long texts are read whole. Each block of the benchmark but the last writes what it leaves.
+    """
 
-    def past(rows: DataFrame, block: Benchmark) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    def past(rows: DataFrame, shared: Broadcast) -> DataFrame:
         at = rows.columns.index(text_col)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,4 +301,6 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return rows.mapInArrow(run, rows.schema)
 
-    return reduce(past, blocks_of(benchmark, item_col, item_text_col), docs)
+    for shared, last in shared_blocks(benchmark, item_col, item_text_col):
+        docs = past(docs, shared) if last else written(past(docs, shared), "without-block")
+    return docs
