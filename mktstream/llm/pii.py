@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 ROUNDS = 8
 DIGITS = "0123456789"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
+LATIN_MORE = "ßøæœðþłđħŋ"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 HEX = "0123456789abcdef"
@@ -43,7 +44,7 @@ _PHONES = (
 _MARKS = "".join(c for c in map(chr, range(0x300, 0x12000)) if unicodedata.category(c) in ("Mn", "Mc"))
 _NAME = rf"[^\W\d_a-z](?:[^\W\d_]|[{_MARKS}])+"
 PATTERNS: dict[str, re.Pattern] = {
-    "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"),
     "aws_key": re.compile(r"\b(?:AKIA|ASIA)[A-Z2-7]{16}\b"),
     "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9_\-]{8,})"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -67,7 +68,12 @@ def luhn(digits: str) -> bool:
 
 
 class Keyed:
-    """Permutations under a key: of strings over an alphabet, keeping the length, by a Feistel network."""
+    """Replacements under a key of strings over an alphabet, keeping the length: one for each, never a string itself.
+
+    A Feistel network permutes the strings of one length and tweak. A string's replacement is the one that the network
+    maps next to it: what stands behind it in the order of the images. So all strings of a length lie on one cycle, on which each
+    moves a step: different ones stay different, and none stays as it is.
+    """
 
     def __init__(self, key: bytes):
         self.key = key
@@ -76,26 +82,35 @@ class Keyed:
         mac = hmac.digest(self.key, f"{tweak}|{round_}|{','.join(map(str, half))}".encode(), "sha256")
         return int.from_bytes(mac, "big") % size
 
-    def permute(self, values: list[int], radix: int, tweak: str) -> list[int]:
-        """A list of as many numbers below radix; different lists of one length and tweak stay different."""
-        n = len(values)
-        if n == 1:
-            return [(values[0] + self._number(tweak, 0, (), radix - 1) + 1) % radix] if radix > 1 else values
-        m = n // 2
+    def _network(self, values: list[int], radix: int, tweak: str, back: bool) -> list[int]:
+        m = len(values) // 2
         a, b = values[:m], values[m:]
-        for r in range(ROUNDS):
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
             target, other = (a, b) if r % 2 == 0 else (b, a)
-            size = radix ** len(target)
-            x = 0
+            size, x = radix ** len(target), 0
             for v in target:
                 x = x * radix + v
-            x = (x + self._number(tweak, r, tuple(other), size)) % size
+            by = self._number(tweak, r, tuple(other), size)
+            x = (x - by if back else x + by) % size
             for i in range(len(target) - 1, -1, -1):
                 x, target[i] = divmod(x, radix)
         return a + b
 
+    def permute(self, values: list[int], radix: int, tweak: str) -> list[int]:
+        """The replacement of a list of numbers below radix."""
+        if radix < 2 or not values:
+            return values
+        if len(values) == 1:
+            return [(values[0] + self._number(tweak, 0, (), radix - 1) + 1) % radix]
+        image = self._network(values, radix, tweak, back=False)
+        for i in range(len(image) - 1, -1, -1):
+            image[i] = (image[i] + 1) % radix
+            if image[i]:
+                break
+        return self._network(image, radix, tweak, back=True)
+
     def letters(self, text: str, alphabet: str, tweak: str, keep: Callable[[int], bool] = lambda i: False) -> str:
-        """The characters of the alphabet (in either case) permuted among themselves, case and all else kept."""
+        """The characters of the alphabet (in either case) replaced as one string, case and all else kept."""
         at = [i for i, c in enumerate(text) if c.lower() in alphabet and not keep(i)]
         if not at:
             return text
@@ -105,6 +120,11 @@ class Keyed:
             out[i] = alphabet[v].upper() if text[i].isupper() else alphabet[v]
         return "".join(out)
 
+    def opaque(self, text: str, tweak: str) -> str:
+        """Small letters by a keyed hash of the text, one for each character: for texts that have nothing to replace."""
+        mac = b"".join(hmac.digest(self.key, f"{tweak}|{k}|{text}".encode("utf-8", "replace"), "sha256") for k in range(len(text) // 32 + 1))
+        return "".join(LATIN[b % len(LATIN)] for b in mac[: len(text)])
+
 
 @lru_cache(10_000)
 def script_of(c: str) -> str:
@@ -127,64 +147,95 @@ def block_of(c: str) -> str:
 
 
 def alphabets_of(text: str) -> list[str]:
-    """The alphabets that change a text: of Latin, Greek and Cyrillic letters, else of the Unicode block."""
+    """The alphabets of a decomposed text: of Latin, Greek and Cyrillic letters, else of the Unicode block."""
     known = {"LATIN": LATIN, "GREEK": GREEK, "CYRILLIC": CYRILLIC}
-    found = {known.get(script_of(c)) or block_of(c) for c in text if c.isalpha()}
-    if not any(c.lower() in a for a in found for c in text):  # such as accented letters only
-        found |= {block_of(c) for c in text if c.isalpha()}
+    found = set()
+    for c in text:
+        if c.isalpha():
+            own = known.get(script_of(c), "")
+            found.add(own if c.lower() in own else LATIN_MORE if c.lower() in LATIN_MORE else block_of(c))
     return sorted(a for a in found if len(a) > 1)
 
 
+def iban_check(country: str, bban: str) -> int:
+    """The check digits of an IBAN."""
+    return 98 - int("".join(str(int(c, 36)) for c in bban + country + "00")) % 97
+
+
 class Surrogates:
-    """Replacements of one key. The same entity gets the same one everywhere, different ones different ones."""
+    """Replacements of one key. The same entity gets the same one everywhere, different ones of a kind different ones.
+
+    Each kind and form is replaced within itself by a keyed bijection without fixed points, so this holds in the whole corpus
+    without any look at what else it holds. Only what has neither letters nor digits is replaced by a keyed hash.
+    """
 
     def __init__(self, key: bytes):
         self.keyed = Keyed(key)
+        self.pools = {}
+        for g, names in GIVEN.items():
+            order = sorted(names, key=lambda n: hmac.digest(key, f"{g}|{n}".encode(), "sha256"))
+            self.pools |= dict(zip(order, order[1:] + order[:1]))
 
-    def make(self, kind: str, value: str, attempt: int = 0) -> str:
-        k, tweak = self.keyed, f"{kind}|{attempt}"
+    def make(self, kind: str, value: str) -> str:
+        new = self._made(kind, value)
+        return new if new != value else self.keyed.opaque(value, kind)
+
+    def _made(self, kind: str, value: str) -> str:
+        k = self.keyed
         if kind == "email":
             local, _, domain = value.rpartition("@")
             host, _, top = domain.rpartition(".")
-            local = self.scripts(k.letters(local, DIGITS, tweak + "|local"), tweak + "|local")
-            return f"{local}@{k.letters(host, LATIN, tweak + '|host')}.{top}"
+            new = self.scripts(k.letters(local, DIGITS, "local"), "local")
+            return f"{new if new != local else k.opaque(local, 'local')}@{self.scripts(host, 'host')}.{top}"
         if kind == "ipv4":
-            octets = [int(o) for o in value.split(".")]
-            return ".".join(map(str, k.permute(octets, 256, tweak)))
+            return ".".join(map(str, k.permute([int(o) for o in value.split(".")], 256, kind)))
         if kind == "card":
             digits = [int(c) for c in value if c.isdigit()]
-            while True:  # walks the permutation's cycle back into numbers that pass the check
-                digits = k.permute(digits, 10, tweak)
+            while True:  # on along the cycle of all numbers to the next that passes the check
+                digits = k.permute(digits, 10, kind)
                 if luhn("".join(map(str, digits))):
                     break
             rest = iter(digits)
             return "".join(str(next(rest)) if c.isdigit() else c for c in value)
         if kind == "phone":
             country = len(re.match(rf"(?:{COUNTRY}|0(?=[1-9]))?", value)[0])
-            return k.letters(value, DIGITS, tweak, keep=lambda i: i < country)
+            return k.letters(value, DIGITS, kind, keep=lambda i: i < country)
         if kind == "ssn":
-            return k.letters(value, DIGITS, tweak)
+            return k.letters(value, DIGITS, kind)
         if kind == "iban":
-            return value[:2] + k.letters(k.letters(value[2:], DIGITS, tweak), LATIN, tweak)
+            return self.iban(value)
         if kind == "aws_key":
-            return value[:4] + "".join(BASE32[v] for v in k.permute([BASE32.index(c) for c in value[4:]], 32, tweak))
+            return value[:4] + "".join(BASE32[v] for v in k.permute([BASE32.index(c) for c in value[4:]], 32, kind))
         if kind == "secret":
             if all(c in HEX for c in value):
-                return "".join(HEX[v] for v in k.permute([HEX.index(c) for c in value], 16, tweak))
-            return k.letters(k.letters(value, DIGITS, tweak), LATIN, tweak)
-        return " ".join(self.given(part, tweak) for part in value.split())
+                return "".join(HEX[v] for v in k.permute([HEX.index(c) for c in value], 16, kind))
+            return k.letters(k.letters(value, DIGITS, kind), LATIN, kind)
+        return " ".join(self.given(part) for part in value.split())
+
+    def iban(self, value: str) -> str:
+        """Country and form stay. The check digits fit if they did before; else they miss by as much."""
+        bare = value.replace(" ", "")
+        miss = int(bare[2:4]) - iban_check(bare[:2], bare[4:])
+        rest = self.keyed.letters(self.keyed.letters(bare[4:], DIGITS, "iban"), LATIN, "iban")
+        check = (iban_check(bare[:2], rest) - 2 + miss) % 97 + 2
+        out = iter(f"{bare[:2]}{check:02}{rest}")
+        return "".join(c if c == " " else next(out) for c in value)
 
     def scripts(self, text: str, tweak: str) -> str:
+        """Letters replaced alphabet by alphabet; accents stay where they are."""
+        text = "".join(c if script_of(c) == "HANGUL" else unicodedata.normalize("NFD", c) for c in text)
         for alphabet in alphabets_of(text):
             text = self.keyed.letters(text, alphabet, tweak)
-        return text
+        return unicodedata.normalize("NFC", text)
 
-    def given(self, part: str, tweak: str) -> str:
-        for g, names in GIVEN.items():
-            if part in names:
-                order = sorted(names, key=lambda n: hmac.digest(self.keyed.key, f"{tweak}|{g}|{n}".encode(), "sha256"))
-                return order[(order.index(part) + 1) % len(order)]
-        return self.scripts(unicodedata.normalize("NFC", part), tweak)
+    def given(self, part: str) -> str:
+        """A name of the pools becomes another of its gender; any other name none of these."""
+        if part in self.pools:
+            return self.pools[part]
+        new = self.scripts(part, "name")
+        while new in self.pools:
+            new = self.scripts(new, "name")
+        return new if new != unicodedata.normalize("NFC", part) else self.keyed.opaque(part, "name").capitalize()
 
 
 def emails(text: str) -> Iterator[re.Match]:
@@ -256,31 +307,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
 def scrub(text: str, surrogates: Surrogates, cached: Callable | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced in order.
 
-    A surrogate that is an original of the same text, or that another original has got, is made anew with
-    the next attempt, so different entities stay different and none is taken for another. Names are replaced
-    part by part, so that each part stays the same in every mention, in upper case too.
+    Names are replaced part by part, so that each part stays the same in every mention, in upper case too.
     """
     entities = find(text)
     if not entities:
         return text, []
     make = cached or surrogates.make
-    spans = [s for a, b, kind in entities for s in ([(a + m.start(), a + m.end(), kind) for m in re.finditer(r"\S+", text[a:b])] if kind == "name" else [(a, b, kind)])]
-    original = lambda kind, value: value.capitalize() if kind == "name" and value.isupper() else value
-    originals = {original(kind, text[a:b]) for a, b, kind in spans}
-    given: dict[tuple[str, str], str] = {}
-    used: set[str] = set()
     out, last = [], 0
-    for a, b, kind in spans:
-        value = original(kind, text[a:b])
-        new = given.get((kind, value))
-        if new is None:
-            for attempt in range(100):
-                new = make(kind, value, attempt)
-                if new not in used and new not in originals:
-                    break
-            given[kind, value] = new
-            used.add(new)
-        out += [text[last:a], new.upper() if kind == "name" and value != text[a:b] else new]
+    for a, b, kind in entities:
+        out.append(text[last:a])
+        if kind == "name":
+            for part in re.split(r"(\s+)", text[a:b]):
+                upper = len(part) > 1 and part.isupper() and part.lower() != part
+                out.append(make(kind, part.capitalize()).upper() if upper else make(kind, part) if part and not part.isspace() else part)
+        else:
+            out.append(make(kind, text[a:b]))
         last = b
     return "".join([*out, text[last:]]), [k for _, _, k in entities]
 
@@ -288,10 +329,11 @@ def scrub(text: str, surrogates: Surrogates, cached: Callable | None = None) ->
 def pii_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text with surrogates, n_entities and kinds (distinct, sorted, comma-joined) for each row.
 
-    Entities are those of PATTERNS. Under one key an entity has one surrogate in the whole corpus without any
-    exchange between tasks, as each kind and form is permuted within itself; forms, scripts, the gender of given
-    names, country codes and check digits stay. A null text stays null with no entities; texts without entities stay as they are; repeated
-    rows come out alike; long texts are read whole; an empty table gives no rows; further columns aren't read.
+    Entities are those of PATTERNS. Under one key an entity has one surrogate in the whole corpus, and different ones of a
+    kind have different ones, without any exchange between tasks, as each kind and form is permuted within itself; no original
+    stays. Forms, scripts, the gender of given names, country codes and check digits stay. A null text stays null with no
+    entities; empty texts and texts without entities stay as they are; repeated rows come out alike; of entities that tie in a
+    place the kind that PATTERNS has first is taken; long texts are read whole; an empty table gives no rows; further columns aren't read.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.StringType())])
 
