@@ -14,7 +14,8 @@ from mktstream.llm.vectors import summed
 BUCKETS = 1 << 16
 WINDOW = 32
 ROUNDS = 15
-MOST_LANGUAGES = 4
+#: More than so many values of the language column are taken for an error in the table.
+MOST_VALUES = 10_000
 PENALTY = 2.0
 SMOOTHING = 0.5
 FLUSH_WINDOWS = 200_000
@@ -52,8 +53,9 @@ class Mixture:
     def infer(self, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its main language and that one's proportion, all texts at once.
 
-        Expectation-maximisation with all languages ranks them; then the first 1, 2, ... of that ranking
-        are fitted alone, and the set with the largest likelihood less PENALTY * log(windows) a language wins.
+        Expectation-maximisation with all languages ranks them; then the first 1, 2, ... of that ranking are
+        fitted alone, as long as the likelihood less PENALTY * log(windows) a language rises. Of languages that
+        tie the first in alphabetical order is ahead.
         """
         sizes = np.array([len(w) for w in windows])
         start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -62,27 +64,34 @@ class Mixture:
         like, base = np.exp(x - top), np.add.reduceat(top[:, 0], start)
         doc, n, k = np.repeat(np.arange(len(sizes)), sizes), len(sizes), x.shape[1]
 
-        def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def fit(of: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Shares and likelihood of the texts of numbers `of`, each with its allowed languages."""
+            own = np.flatnonzero(np.isin(doc, of)) if len(of) < n else slice(None)
+            some, size = like[own], sizes[of]
+            at = np.repeat(np.arange(len(of)), size)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
             share = allowed / allowed.sum(axis=1, keepdims=True)
             for _ in range(ROUNDS):
-                r = share[doc] * like
+                r = share[at] * some
                 r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-                share = np.add.reduceat(r, start, axis=0) / sizes[:, None]
-            fitted = np.log(np.maximum((share[doc] * like).sum(axis=1), 1e-300))
-            return share, base + np.add.reduceat(fitted, start)
+                share = np.add.reduceat(r, first, axis=0) / size[:, None]
+            fitted = np.log(np.maximum((share[at] * some).sum(axis=1), 1e-300))
+            return share, base[of] + np.add.reduceat(fitted, first)
 
-        order = np.argsort(-fit(np.ones((n, k)))[0], axis=1, kind="stable")
+        rising = np.arange(n)
+        order = np.argsort(-fit(rising, np.ones((n, k)))[0], axis=1, kind="stable")
         best = np.full(n, -np.inf)
         lang, score = np.zeros(n, np.int64), np.zeros(n)
-        for m in range(1, min(k, MOST_LANGUAGES) + 1):
-            allowed = np.zeros((n, k))
-            np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-            share, fitted = fit(allowed)
-            value = fitted - PENALTY * m * np.log(1 + sizes)
-            better = value > best
-            best = np.where(better, value, best)
-            lang = np.where(better, share.argmax(axis=1), lang)
-            score = np.where(better, share.max(axis=1), score)
+        for m in range(1, k + 1):
+            allowed = np.zeros((len(rising), k))
+            np.put_along_axis(allowed, order[rising, :m], 1.0, axis=1)
+            share, fitted = fit(rising, allowed)
+            value = fitted - PENALTY * m * np.log(1 + sizes[rising])
+            better = value > best[rising]
+            rising, share, value = rising[better], share[better], value[better]
+            if not len(rising):
+                break
+            best[rising], lang[rising], score[rising] = value, share.argmax(axis=1), share.max(axis=1)
         return lang, score
 
 
@@ -93,7 +102,9 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mixture:
     """Gram counts by language over all rows of docs whose language and text are known."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    languages = sorted(r.lang for r in known.select("lang").distinct().limit(MOST_VALUES + 1).collect())
+    if len(languages) > MOST_VALUES:
+        raise ValueError(f"{lang_col} has more than {MOST_VALUES} values, so it holds no languages")
     at = {v: i * BUCKETS for i, v in enumerate(languages)}
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
@@ -113,8 +124,10 @@ def identify(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col:
     an empty table gives no rows; further columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             langs, scores = ["und"] * len(batch), [0.0] * len(batch)
             at: list[int] = []
