@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mktstream.llm.common import broadcast_below, counted, dropped, few, small_batches, tidy, written
+from mktstream.llm.common import broadcast_below, counted, dropped, few, free_names, small_batches, tidy, written
 from mktstream.llm.graph import Forest, contracted, stars, with_roots
 from mktstream.llm.vectors import summed
 
@@ -583,16 +583,17 @@ def without_near_copies(docs: DataFrame, rule: Rule, id_col: str = "doc_id", tex
     identifier are each rated by their own text; equal ones of one identifier are one document, and stay or
     go together. An empty table stays empty; long texts are read whole; further columns pass through whatever their names.
     """
+    lost_id, lost_sets = free_names(docs.columns, "lost", "lost_sets")
     found = similar_sets(docs, rule, id_col, text_col).where("doc_id is not null")
     lost = F.col("component_id") < F.col("doc_id")
     per_id = found.groupBy("doc_id").agg(F.min(lost).alias("all_lost"), F.collect_set(F.when(lost, F.col("set"))).alias("sets")).where(F.size("sets") > 0)
-    per_id = per_id.select(F.col("doc_id").alias("__lost"), "all_lost", F.when(~F.col("all_lost"), F.col("sets")).alias("sets"))
+    per_id = per_id.select(F.col("doc_id").alias(lost_id), "all_lost", F.when(~F.col("all_lost"), F.col("sets")).alias("sets"))
     per_id, seen = counted(per_id, "near-copies", F.coalesce(F.sum((~F.col("all_lost")).cast("int")), F.lit(0)).alias("mixed"))
-    kept = docs.join(per_id.select("__lost"), docs[id_col] == F.col("__lost"), "left_anti")
+    kept = docs.join(per_id.select(lost_id), docs[id_col] == F.col(lost_id), "left_anti")
     if not seen["mixed"]:
         return kept
     # Of these identifiers some rows go and others stay, so their texts are looked at again.
-    mixed = docs.join(per_id.where("not all_lost").select("__lost", F.col("sets").alias("__sets")), docs[id_col] == F.col("__lost"))
+    mixed = docs.join(per_id.where("not all_lost").select(lost_id, F.col("sets").alias(lost_sets)), docs[id_col] == F.col(lost_id))
     at, sets_at, width = docs.columns.index(text_col), len(docs.columns) + 1, len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
