@@ -49,8 +49,9 @@ def conf_of(spark: SparkSession, settings: dict[str, str]):
 
 
 def small_batches(spark: SparkSession):
-    """Jobs inside the block hand Python few rows at once, so texts and bitmaps take little memory on either side."""
-    return conf_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
+    """For many jobs over tables of their own: Python gets few rows at once, so texts and bitmaps take little memory on either
+    side, and the driver builds no broadcasts but those that are asked for."""
+    return conf_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1"})
 
 
 #: How many rows a file of an intermediate table takes at least, where a bound of their number is known beforehand.
@@ -102,9 +103,20 @@ def tidy(spark: SparkSession) -> None:
 BROADCAST_BYTES = 16 << 20
 
 
+def is_small(rows: int, columns: int) -> bool:
+    """Whether so many narrow rows stay below the bound; a column counts 32 bytes."""
+    return rows * columns * 32 < BROADCAST_BYTES
+
+
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df, of so many rows, with a broadcast hint if these stay below the bound; a column counts 32 bytes, so it is for narrow rows."""
-    return F.broadcast(df) if rows * len(df.columns) * 32 < BROADCAST_BYTES else df
+    """df, of at most so many narrow rows, with a broadcast hint if these stay below the bound."""
+    return F.broadcast(df) if is_small(rows, len(df.columns)) else df
+
+
+def planned_once(spark: SparkSession):
+    """For jobs whose partitions are even and whose joins are settled: plans aren't changed while they run, which would cost
+    the driver a thread and a plan for every exchange."""
+    return conf_of(spark, {"spark.sql.adaptive.enabled": "false"})
 
 
 def ascii_lower(text: Column) -> Column:

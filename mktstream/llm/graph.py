@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mktstream.llm.common import broadcast_below, counted, dropped, tidy, written
+from mktstream.llm.common import broadcast_below, counted, dropped, is_small, planned_once, tidy, written
 
 MAX_ROUNDS = 60
 #: A task contracts about so many nodes at once.
@@ -87,17 +88,19 @@ def stars(links: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
     one job, which also takes the sums that tell whether the round changed anything. Links with a null end and
     links of a node to itself are left out. rows: a bound of the number of links.
     """
+    spark = links.sparkSession
     sums = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sums")
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges, now = counted(edges, "edges", sums, rows=rows, per_file=LINKS_PER_FILE)
     for _ in range(MAX_ROUNDS):
         if not now["rows"]:
             return edges, 0
-        between = written(_large(edges, now["rows"]), "edges", rows=now["rows"])
-        after, then = counted(_small(between, now["rows"]), "edges", sums, rows=now["rows"])
+        with planned_once(spark) if is_small(now["rows"], 2) else nullcontext():
+            between = written(_large(edges, now["rows"]), "edges", rows=now["rows"])
+            after, then = counted(_small(between, now["rows"]), "edges", sums, rows=now["rows"])
         dropped(edges, between)
-        tidy(links.sparkSession)
         if then == now:
+            tidy(spark)
             return after, then["rows"]
         edges, now = after, then
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mktstream.llm.common import ascii_lower, free_names, written
+from mktstream.llm.common import ascii_lower, dropped, free_names, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -31,7 +31,9 @@ def lost_positions(docs: DataFrame, id_col: str, text_col: str, min_len: int, mi
     common = keys.groupBy("hash").agg(F.min("id").alias("stays"), holders.alias("common")).where("common").select(F.col("hash").alias("of"), "stays")
     gone = keys.join(common, F.struct(F.col("hash").alias("of")) == F.struct("of")).where(F.col("id") > F.col("stays"))
     # Rows that repeat an identifier and a text give each position more than once.
-    return written(gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("lost")), "line-lost")
+    lost = written(gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("lost")), "line-lost")
+    dropped(keys)
+    return lost
 
 
 def _deduped(docs: DataFrame, id_col: str, text_col: str, min_len: int, min_docs: int) -> tuple[DataFrame, Column, Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mktstream.llm.common import broadcast_below, counted, dropped, few, free_names, small_batches, tidy, written
+from mktstream.llm.common import broadcast_below, counted, dropped, few, free_names, planned_once, small_batches, tidy, written
 from mktstream.llm.graph import Forest, contracted, stars, with_roots
 from mktstream.llm.vectors import summed
 
@@ -187,7 +187,8 @@ def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: in
     """
     spread = table.select(F.explode("tokens").alias("token"), "sid")
     shared = spread.groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("tid"), F.count(F.lit(1)).alias("rows")).where("sid < tid")
-    shared, of_shared = counted(shared, "shared-shingles", F.coalesce(F.sum(F.when(F.col("rows") > 2, F.col("rows"))), F.lit(0)).alias("more"), rows=tokens)
+    with planned_once(table.sparkSession):
+        shared, of_shared = counted(shared, "shared-shingles", F.coalesce(F.sum(F.when(F.col("rows") > 2, F.col("rows"))), F.lit(0)).alias("more"), rows=tokens)
     two = shared.where("rows = 2").select("sid", "tid").distinct()
     bits = sets.select("sid", "n", "bits")
     other = bits.toDF("tid", "m", "other")
@@ -467,7 +468,7 @@ def similar(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
 
 
 def similar_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
-    """similar() with the column `set`, the 128-bit hash of the row's shingles.
+    """similar() with the column `set`, the 128-bit hash of the row's shingles. `reads` of the result are the tables it is read from.
 
     Equal sets are one set from the start, and links are between sets. A block beyond `chunk` sets or
     CHUNK_SHINGLES shingles is dealt out by size class and hash: (1) components inside each chunk; (2) one set
@@ -484,7 +485,8 @@ def _similar_sets(rows: DataFrame, rule: Rule, chunk: int) -> DataFrame:
     sums = [F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("tokens")]
     table, of_table = counted(signatures(rows, counts, rule, "doc", "text"), "signatures", *sums)
     named = table.where("doc is not null and n > 0")
-    sets, of_sets = counted(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets", rows=of_table["rows"], per_file=10_000)
+    with planned_once(rows.sparkSession):
+        sets, of_sets = counted(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets", rows=of_table["rows"], per_file=10_000)
     edges = blocks(named, sets, rule, chunk, of_table["tokens"])
     block = with_roots(edges).select(F.col("node").alias("sid"), F.col("label").alias("block"))
     step = F.floor(F.ln("n") / F.lit(math.log(rule.den / rule.num))).cast("int")
@@ -504,18 +506,24 @@ def _similar_sets(rows: DataFrame, rule: Rule, chunk: int) -> DataFrame:
         return texts.join(broadcast_below(parts.select("doc", "set", F.col(comp).alias("comp"), *keys), rows), "doc").select(*keys, "set", "comp", F.lit(side).alias("side"), "text")
 
     keys = ["block", "band", "part"]
-    roots = written(local_roots(told(members, "set", keys), keys, rule), "roots", rows=of_members["rows"], per_file=CHUNK)
-    labels = with_roots(roots.toDF("u", "v"))
+    with planned_once(rows.sparkSession):
+        roots = written(local_roots(told(members, "set", keys), keys, rule), "roots", rows=of_members["rows"], per_file=CHUNK)
+    labels, kept = with_roots(roots.toDF("u", "v")), [table, sets, roots]
     if of_members["large"]:
         large = members.where("band >= 0")
-        small = labels.join(large, labels["node"] == large["set"], "left_anti")
-        labels = small.unionAll(with_roots(large_stars(large, roots, told, rule, chunk, of_members["large"])))
+        small = written(roots.join(large.select("set"), "set", "left_anti"), "roots", rows=of_members["rows"])
+        of_large = large_stars(large, roots, told, rule, chunk, of_members["large"])
+        labels, kept = with_roots(small.toDF("u", "v").unionAll(of_large)), [table, sets, small, of_large]
+        dropped(roots)
     first = sets.join(labels, sets["set"] == labels["node"]).groupBy("label").agg(F.min("doc").alias("component"))
     of_set = labels.join(first, "label").select("node", "component")
     of_set = sets.join(of_set, sets["set"] == of_set["node"], "left").select("set", F.coalesce("component", "doc").alias("component"))
     placed = few(table.join(of_set, "set", "left"), of_table["rows"])
     own = F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.col("component"))
-    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "set")
+    out = placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "set")
+    dropped(members)
+    out.reads = kept
+    return out
 
 
 def parts_for(sets: Column, shingles_: Column, chunk: int) -> Column:
@@ -536,7 +544,8 @@ def large_stars(large: DataFrame, roots: DataFrame, told, rule: Rule, chunk: int
     spread = heads.groupBy("block").agg(parts_for(F.count(F.lit(1)), F.sum("n"), chunk).alias("parts"))
     heads = heads.join(spread, "block").select("block", "doc", "set", "comp", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"))
     heads, of_heads = counted(heads, "heads", rows=rows)
-    joined = written(local_roots(told(heads, "comp", ["block", "part"], rows=of_heads["rows"]), ["block", "part"], rule), "roots", rows=of_heads["rows"], per_file=CHUNK)
+    with planned_once(large.sparkSession):
+        joined = written(local_roots(told(heads, "comp", ["block", "part"], rows=of_heads["rows"]), ["block", "part"], rule), "roots", rows=of_heads["rows"], per_file=CHUNK)
 
     now = written(relabelled(first, "comp", joined), "large", rows=rows, per_file=10_000)
     by_component = now.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -545,12 +554,13 @@ def large_stars(large: DataFrame, roots: DataFrame, told, rule: Rule, chunk: int
     rest_parts = rest.groupBy("block", "band").agg(parts_for(F.count(F.lit(1)), F.sum("n"), chunk).alias("parts"))
     rest = rest.join(rest_parts, ["block", "band"]).withColumn("rest_part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
     rest, of_rest = counted(rest.select("block", "doc", "set", "n", "bits", "comp", F.col("band").alias("rest_band"), "rest_part"), "rest", rows=rows, per_file=10_000)
+    before = now
     links, of_links = links_of_rest(now, rest, told, rule, chunk, rows) if of_rest["rows"] else (None, {"rows": 0})
     if of_links["rows"]:
         linked, _ = stars(links, rows=of_links["rows"])
         now = relabelled(now, "comp", linked.select("u", "v"))
     done = written(now.where("comp <> set").select(F.col("set").alias("u"), F.col("comp").alias("v")), "stars", rows=rows)
-    dropped(heads, joined, rest)
+    dropped(heads, joined, before, rest)
     tidy(large.sparkSession)
     return done
 
@@ -584,11 +594,13 @@ def without_near_copies(docs: DataFrame, rule: Rule, id_col: str = "doc_id", tex
     go together. An empty table stays empty; long texts are read whole; further columns pass through whatever their names.
     """
     lost_id, lost_sets = free_names(docs.columns, "lost", "lost_sets")
-    found = similar_sets(docs, rule, id_col, text_col).where("doc_id is not null")
+    found = similar_sets(docs, rule, id_col, text_col)
+    reads, found = found.reads, found.where("doc_id is not null")
     lost = F.col("component_id") < F.col("doc_id")
     per_id = found.groupBy("doc_id").agg(F.min(lost).alias("all_lost"), F.collect_set(F.when(lost, F.col("set"))).alias("sets")).where(F.size("sets") > 0)
     per_id = per_id.select(F.col("doc_id").alias(lost_id), "all_lost", F.when(~F.col("all_lost"), F.col("sets")).alias("sets"))
     per_id, seen = counted(per_id, "near-copies", F.coalesce(F.sum((~F.col("all_lost")).cast("int")), F.lit(0)).alias("mixed"))
+    dropped(*reads)
     kept = docs.join(per_id.select(lost_id), docs[id_col] == F.col(lost_id), "left_anti")
     if not seen["mixed"]:
         return kept

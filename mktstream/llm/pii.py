@@ -207,8 +207,9 @@ class Surrogates:
         if kind == "aws_key":
             return value[:4] + "".join(BASE32[v] for v in k.permute([BASE32.index(c) for c in value[4:]], 32, kind))
         if kind == "secret":
-            if all(c in HEX for c in value):
-                return "".join(HEX[v] for v in k.permute([HEX.index(c) for c in value], 16, kind))
+            for digits in (HEX, HEX.upper()):
+                if all(c in digits for c in value):
+                    return "".join(digits[v] for v in k.permute([digits.index(c) for c in value], 16, kind))
             return k.letters(k.letters(value, DIGITS, kind), LATIN, kind)
         return " ".join(self.given(part) for part in value.split())
 

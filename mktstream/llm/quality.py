@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mktstream.llm.common import counted, free_names, written
+from mktstream.llm.common import counted, dropped, free_names, written
 
 _PUNCT = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _DIGITS = b"0123456789"
@@ -247,7 +247,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     Null, empty and long texts, null hosts and repeated rows are rated as there; an empty table stays empty. Features are
     taken a second time as the rows pass, which is cheaper than writing all texts once more.
     """
-    model = fit(*binned(docs, id_col, text_col, keys), labels)
+    rated, n = binned(docs, id_col, text_col, keys)
+    model = fit(rated, n, labels)
+    dropped(rated)
     host, path, bins = free_names(docs.columns, "host_key", "path_key", "bins")
     of_host, of_path = keys.columns()
     rows = with_bins(docs.withColumn(host, of_host).withColumn(path, of_path), text_col, bins)
