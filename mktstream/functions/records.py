@@ -8,9 +8,9 @@ import pyarrow as pa
 
 from mktstream.functions import values as V
 from mktstream.plans.metadata import ConversionError
-from mktstream.plans.upgrade import DEFAULTS
+from mktstream.plans.upgrade import DEFAULTS, upgrade_columns
 from mktstream.sources.codec import from_arrow, layout_of, to_arrow
-from mktstream.sources.layouts import arrow_type, fields, index_column, spark_schema
+from mktstream.sources.layouts import LAYOUTS, arrow_type, fields, index_column, layout_name, spark_schema
 
 _TIMES = ("ts_event", "ts_recv", "ts_ref", "ts_out", "expiration", "activation", "start_ts", "end_ts", "auction_time")
 
@@ -36,8 +36,12 @@ class Record:
         layout = layout_of(data[1], len(data), version, ts_out)
         if layout is None:
             raise ConversionError(f"no record type {data[1]:#x}")
-        made = {c: v[0].as_py() for c, v in to_arrow(data, 0, 1, layout, ts_out, strict=True).items()}
-        return cls(layout, **{c: v % 2**64 if c in _TIMES else v for c, v in made.items()})
+        return cls.of_columns(layout, {c: v[0].as_py() for c, v in to_arrow(data, 0, 1, layout, ts_out, strict=True).items()})
+
+    @classmethod
+    def of_columns(cls, layout: str, columns: dict) -> Record:
+        """From columns as a table has them, with unsigned 64-bit times as their bits in a long."""
+        return cls(layout, **{c: v % 2**64 if c in _TIMES and v is not None else v for c, v in columns.items()})
 
     def __bytes__(self) -> bytes:
         signed = lambda v: v - 2**64 if isinstance(v, int) and v >= 2**63 else v
@@ -47,6 +51,16 @@ class Record:
             columns["ts_out"] = pa.array([signed(self.ts_out)], pa.int64())
         return from_arrow(pa.RecordBatch.from_pydict(columns), self.layout, self.ts_out is not None)
 
+    def upgraded(self, version: int = 3) -> Record:
+        """The record in the layout of a newer version; one that is as new already stays as it is."""
+        kind = self.layout.split("_v")[0]
+        to = layout_name(kind, version)
+        if LAYOUTS[to][0] <= LAYOUTS[self.layout][0]:
+            return self
+        data = bytes(self)
+        columns = upgrade_columns(to_arrow(data, 0, 1, self.layout, self.ts_out is not None), kind, self.layout, to)
+        return Record.of_columns(to, {c: v[0].as_py() for c, v in columns.items()})
+
     @property
     def record_size(self) -> int:
         return len(bytes(self))

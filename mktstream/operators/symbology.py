@@ -16,16 +16,17 @@ def resolved_intervals(intervals: DataFrame) -> DataFrame:
     """Intervals without overlap: where those of an instrument overlap, the one with the largest ordinal holds.
 
     The bounds of an instrument's intervals part its time into pieces; each piece takes the last interval
-    that covers it. Empty intervals are ignored, and one that ends before it starts is an error. Work grows
-    with the intervals that overlap, not with the days they span.
+    that covers it. Empty intervals are ignored, and one that ends before it starts is an error. An instrument's intervals meet
+    in one row (there are few, at most one a day), so there is one shuffle and no join; the intervals are a small table beside the records.
     """
     checked = intervals.where(F.when(F.col("start_date") > F.col("end_date"), F.raise_error(F.lit("an interval ends before it starts")).cast("boolean")).otherwise(F.col("start_date") < F.col("end_date")))
-    bounds = checked.select("instrument_id", F.explode(F.array("start_date", "end_date")).alias("piece_start")).distinct()
-    follow = Window.partitionBy("instrument_id").orderBy("piece_start")
-    pieces = bounds.withColumn("piece_end", F.lead("piece_start").over(follow)).where(F.col("piece_end").isNotNull())
-    covers = (F.col("p.instrument_id") == F.col("i.instrument_id")) & (F.col("i.start_date") <= F.col("p.piece_start")) & (F.col("i.end_date") >= F.col("p.piece_end"))
-    held = pieces.alias("p").join(checked.alias("i"), covers).groupBy("p.instrument_id", "p.piece_start", "p.piece_end").agg(F.max_by("i.symbol", "i.ordinal").alias("symbol"))
-    return held.select("instrument_id", F.col("piece_start").alias("start_date"), F.col("piece_end").alias("end_date"), "symbol")
+    spans = checked.groupBy("instrument_id").agg(F.collect_list(F.struct("start_date", "end_date", "ordinal", "symbol")).alias("spans"))
+    bounds = F.array_sort(F.array_distinct(F.concat(F.transform("spans", lambda s: s["start_date"]), F.transform("spans", lambda s: s["end_date"]))))
+    pieces = spans.withColumn("bounds", bounds).select("instrument_id", "spans", "bounds", F.posexplode("bounds").alias("at", "piece_start"))
+    pieces = pieces.withColumn("piece_end", F.get("bounds", F.col("at") + 1)).where(F.col("piece_end").isNotNull())
+    cover = F.filter("spans", lambda s: (s["start_date"] <= F.col("piece_start")) & (s["end_date"] >= F.col("piece_end")))
+    held = pieces.withColumn("last", F.array_max(F.transform(cover, lambda s: F.struct(s["ordinal"].alias("ordinal"), s["symbol"].alias("symbol")))))
+    return held.where(F.col("last").isNotNull()).select("instrument_id", F.col("piece_start").alias("start_date"), F.col("piece_end").alias("end_date"), "last.symbol")
 
 
 def with_symbol(records: DataFrame, intervals: DataFrame, index_ts: str, resolved: bool = False) -> DataFrame:

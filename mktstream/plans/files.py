@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mktstream.functions import scalar as S
 from mktstream.functions import values as V
-from mktstream.operators import filters, symbology
+from mktstream.operators import filters, split, symbology
 from mktstream.operators.merge import merge_streams
 from mktstream.operators.running import numbered
 from mktstream.plans import streams as R
@@ -19,6 +19,7 @@ from mktstream.plans.metadata import Metadata, interval_frame
 from mktstream.plans.upgrade import TEXTS
 from mktstream.sources.binary import register
 from mktstream.sources.layouts import HEADER, layout_name, mixed_schema, spark_schema
+from mktstream.sources.store import read_records
 from mktstream.sources.text import csv_lines, header, json_lines, mixed_json
 
 PRICE = "CAST(round(value * 100) AS BIGINT) * 10000000"
@@ -82,6 +83,12 @@ def binary_order(spark: SparkSession, d: str) -> DataFrame:
     return numbered(rows, "pos", ["position"]).select("pos", "order_id")
 
 
+def binary_store(spark: SparkSession, d: str) -> DataFrame:
+    """A file read as from a store that only Spark reaches."""
+    path = written(spark, book(spark, d), "mbo", "order_id", compression="zstd")
+    return read_records(spark, f"file://{path}", schema="mbo").select(*BOOK)
+
+
 def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     """Book records as CSV lines, written with their header and read back by Spark's own reader."""
     path = scratch(spark)
@@ -258,6 +265,38 @@ RECORD_TESTS = f"""SELECT event_id, event_type NOT IN ('view', 'signup') AS opti
   'trade' AS action, 'C' AS matching, 0 AS cleared, CASE WHEN event_id % 2 = 0 THEN 'Y' ELSE 'N' END AS tri, 1 AS tbbo FROM events"""
 
 
+def char_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Every byte as a one-character code, as text output has it."""
+    return R.book_events(spark, d).select("event_id", S.escaped_char(F.chr(F.col("event_id") % 256)).alias("shown"))
+
+
+CHAR_ESCAPES = r"""SELECT event_id, CASE WHEN b = 0 THEN '' WHEN b = 9 THEN '\t' WHEN b = 10 THEN '\n' WHEN b = 13 THEN '\r' WHEN b IN (34, 39, 92) THEN '\' || chr(b)
+  WHEN b BETWEEN 32 AND 126 THEN chr(b) ELSE '\x' || lpad(lower(to_hex(b)), 2, '0') END AS shown FROM (SELECT event_id, CAST(event_id % 256 AS INTEGER) AS b FROM events)"""
+
+
+def split_written(spark: SparkSession, d: str) -> DataFrame:
+    """Events split by week, written as one folder for each key, and read back."""
+    path = scratch(spark)
+    rows = split.split_by_time(R.book_events(spark, d), "ts_recv", "week")
+    split.write_split(rows, path, ["event_id"])
+    back = spark.read.parquet(path)
+    return back.groupBy(F.date_format("split", "yyyy-MM-dd").alias("split")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+
+
+SPLIT_WRITTEN = """SELECT strftime(CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER), '%Y-%m-%d') AS split, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1"""
+
+
+def control_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that belong to a schema, and the others, of a stream read as one table."""
+    rows = loaded(spark, written(spark, mixed(spark, d), "mixed", "event_id"), "mixed")
+    data = filters.data_records(rows).groupBy("rtype").agg(F.count(F.lit(1)).alias("n")).withColumn("data", F.lit(True))
+    rest = filters.typed(rows, 0x15, strict=False).groupBy("rtype").agg(F.count(F.lit(1)).alias("n")).withColumn("data", F.lit(False))
+    return data.unionByName(rest)
+
+
+CONTROL = """SELECT CAST(CASE event_type WHEN 'click' THEN 160 ELSE 21 END AS SMALLINT) AS rtype, count(*) AS n, event_type = 'click' AS data FROM events WHERE event_type IN ('click', 'error') GROUP BY event_type"""
+
+
 def level_flattening(spark: SparkSession, d: str) -> DataFrame:
     """An array of ten levels laid out as columns; levels that are missing are null."""
     e = R.book_events(spark, d)
@@ -287,6 +326,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "binary_slices": (binary_query(read_uniform="true", read_slice_bytes="50000"), BOOK_SQL),
     "fragment_round_trip": (binary_query(mode="fragment"), BOOK_SQL),
     "fragment_zstd": (binary_query(mode="fragment", compression="zstd"), BOOK_SQL),
+    "binary_store": (binary_store, BOOK_SQL),
     "binary_order": (binary_order, "SELECT row_number() OVER (ORDER BY event_id) AS pos, event_id AS order_id FROM events"),
     "csv_sink": (csv_sink, CSV_SINK),
     "json_sink": (json_sink, JSON_SINK),
@@ -298,4 +338,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "dataset_publishers": (dataset_publishers, _dataset_sql()),
     "record_tests": (record_tests, RECORD_TESTS),
     "level_flattening": (level_flattening, LEVELS),
+    "char_escapes": (char_escapes, CHAR_ESCAPES),
+    "split_written": (split_written, SPLIT_WRITTEN),
+    "control_records": (control_records, CONTROL),
 }

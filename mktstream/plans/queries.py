@@ -137,7 +137,7 @@ def price_text(spark: SparkSession, d: str) -> DataFrame:
     t = R.trades(spark, d)
     signed = F.when(F.col("l_linenumber") % 2 == 0, -F.col("price")).otherwise(F.col("price"))
     p = F.when(F.col("l_orderkey") % 50 == 0, F.lit(V.UNDEF_PRICE)).otherwise(signed)
-    return t.select(*KEY[:4], "price", S.fmt_px(p).alias("px"), S.fmt_px_precision(p, 2).alias("px2"), F.coalesce(S.px_to_decimal(p), F.lit(0).cast("decimal(20,9)")).cast("double").alias("px_value"))
+    return t.select(*KEY[:4], "price", S.fmt_px(p).alias("px"), S.fmt_px_precision(p, 2).alias("px2"), S.fmt_px_precision(p, 5).alias("px5"), S.fmt_px_precision(p, 0).alias("px0"), F.coalesce(S.px_to_decimal(p), F.lit(0).cast("decimal(20,9)")).cast("double").alias("px_value"))
 
 
 def _price_sql() -> str:
@@ -145,7 +145,8 @@ def _price_sql() -> str:
     text = PX_SQL.format(p="p")
     return f"""WITH {T_SQL}, x AS (SELECT *, {p} AS p FROM t), y AS (SELECT *, {text} AS f FROM x)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, CASE WHEN p = 9223372036854775807 THEN 'UNDEF_PRICE' ELSE f END AS px,
-  CASE WHEN p = 9223372036854775807 THEN 'UNDEF_PRICE' ELSE left(f, length(f) - 7) END AS px2, CASE WHEN p = 9223372036854775807 THEN 0 ELSE CAST(f AS DOUBLE) END AS px_value FROM y"""
+  CASE WHEN p = 9223372036854775807 THEN 'UNDEF_PRICE' ELSE left(f, length(f) - 7) END AS px2, CASE WHEN p = 9223372036854775807 THEN 'UNDEF_PRICE' ELSE left(f, length(f) - 4) END AS px5,
+  CASE WHEN p = 9223372036854775807 THEN 'UNDEF_PRICE' ELSE left(f, length(f) - 10) END AS px0, CASE WHEN p = 9223372036854775807 THEN 0 ELSE CAST(f AS DOUBLE) END AS px_value FROM y"""
 
 
 def time_text(spark: SparkSession, d: str) -> DataFrame:

@@ -348,3 +348,15 @@ def mixed_schema(version: int = 3, ts_out: bool = False) -> T.StructType:
 def index_column(name: str) -> str:
     """The column that orders a stream."""
     return "ts_recv" if "ts_recv" in text_columns(name) else "ts_event"
+
+
+def describe(name: str) -> list[dict[str, object]]:
+    """Of each field in file order: its column, number type, and whether it is a price, a time, hidden, or a text; and its place among the text columns."""
+    columns, out = text_columns(name), []
+    for field, kind in [("ts_event", "u64"), ("rtype", "u8"), ("publisher_id", "u16"), ("instrument_id", "u32"), *fields(name)]:
+        is_time = kind == "u64" and (field.startswith("ts_") or field.endswith(("_ts", "_time", "expiration", "activation")))
+        out.append({
+            "column": field, "dtype": _NUMBERS.get(kind, f"S{kind[1:] or 1}"), "price": kind == "i64" and field != "quantity", "timestamp": is_time,
+            "hidden": field not in columns, "text": kind[0] in "cs", "order": columns.index(field) if field in columns else None,
+        })
+    return out

@@ -241,6 +241,9 @@ def test_single_records():
     assert "price=5500" in repr(r) and len({r, mbo(1)[0]}) == 1
     with pytest.raises(M.ConversionError):
         Record("mbo", nothing=1)
+    old = Record("definition_v1", rtype=0x13, raw_symbol="ESH1", raw_instrument_id=7, ts_out=3)
+    assert (old.upgraded(2).layout, old.upgraded().layout, old.upgraded().raw_instrument_id, old.upgraded().leg_side, old.upgraded().ts_out) == ("definition_v2", "definition", 7, "N", 3)
+    assert r.upgraded() is r and Record("statistics_v1", rtype=0x18, quantity=values.UNDEF_STAT_QUANTITY_V1).upgraded().quantity == values.UNDEF_STAT_QUANTITY
 
 
 def test_enumerations():
@@ -279,3 +282,46 @@ def test_mixed_rows_of_one_kind(spark, tmp_path):
     path = file_of(tmp_path / "x", [*mbo(2), control(1, "a")], META)
     rows = filters.of_kind(load(spark, path, "mixed"), "mbo")
     assert rows.columns == text_columns("mbo") == spark_schema("mbo").names and rows.count() == 2
+
+
+@pytest.mark.parametrize("compression", [None, "zstd"])
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_push_decoder(compression, step):
+    from mktstream.sources.push import PushDecoder
+
+    data = M.Metadata("XNAS.ITCH", EVENT, version=1).encode() + b"".join(map(bytes, [*mbo(2), Record("error_v1", rtype=0x15, err="Internal error"), *mbo(1)]))
+    half = len(data) // 2
+    sent = zstandard.ZstdCompressor().compress(data[:half]) + zstandard.ZstdCompressor().compress(data[half:]) if compression else data
+    decoder, out = PushDecoder(), []
+    for i in range(0, len(sent), step):
+        decoder.write(sent[i : i + step])
+        out += decoder.decode()
+    assert out[0].version == 3 and [r.layout for r in out[1:]] == ["mbo", "mbo", "error", "mbo"] and out[3].code == 6 and decoder.buffer() == b""
+    decoder.write(bytes(mbo(1)[0])[:20]) if not compression else None
+    assert decoder.decode() == [] and len(decoder.buffer()) == (0 if compression else 20)
+    with pytest.raises(M.DecodeError):
+        decoder.skip(21)
+    plain = PushDecoder(has_metadata=False, upgrade_policy="as_is", compression="none")
+    plain.write(bytes(Record("error_v1", rtype=0x15, err="x")))
+    assert plain.decode()[0].layout == "error_v1"
+
+
+def test_descriptions_of_fields():
+    from mktstream.sources.layouts import describe
+
+    by = {f["column"]: f for f in describe("mbo")}
+    assert by["price"]["price"] and by["ts_recv"]["timestamp"] and by["ts_recv"]["order"] == 0 and by["ts_in_delta"]["dtype"] == "<i4" and by["side"]["text"]
+    assert any(f["hidden"] for f in describe("definition")) and sorted(f["order"] for f in describe("mbo")) == list(range(14))
+
+
+def test_files_of_any_store(spark, tmp_path):
+    from mktstream.sources.store import read_records
+
+    (tmp_path / "in").mkdir()
+    file_of(tmp_path / "in" / "a", mbo(3), META)
+    file_of(tmp_path / "in" / "b", [*mbo(2), control(1, "x")], META, "zstd")
+    rows = read_records(spark, f"file://{tmp_path}/in", schema="mixed", position="true")
+    assert rows.groupBy("file").count().count() == 2 and rows.where("system is not null").first().system.msg == "x" and rows.count() == 6
+    assert read_records(spark, f"file://{tmp_path}/in", schema="mbo", upgrade_policy="as_is", input_version="3").count() == 5
+    with pytest.raises(ValueError, match="input_version"):
+        read_records(spark, f"file://{tmp_path}/in", schema="mbo", upgrade_policy="as_is")

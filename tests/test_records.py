@@ -189,9 +189,30 @@ def test_live_symbols_as_state(spark, tmp_path):
     assert got == {0: None, 1: "NFLX", 2: "NFLX", 3: None, 4: "QQQ", 5: "QQQ"}
 
 
-def test_symbology_plan_broadcasts(spark):
+def test_symbology_plan_has_one_range_join(spark):
+    """Small interval tables are broadcast; none of the plan is a nested loop."""
     from mktstream.plans import streams
 
     d = "/root/testdata/sf0.001"
-    plan = symbology.with_symbol(streams.trades(spark, d), streams.intervals(spark, d), "ts_recv")
-    assert plan.where(F.col("symbol").isNotNull()).count() > 0
+    named = symbology.with_symbol(streams.trades(spark, d), streams.intervals(spark, d), "ts_recv")
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert named.where(F.col("symbol").isNotNull()).count() > 0
+
+
+def test_merge_plan_has_no_single_task(spark):
+    """The running maximum and the final order are both by ranges."""
+    frames = [spark.range(100).selectExpr("id AS pos", "id * 7 % 50 AS ts") for _ in range(2)]
+    plan = merge.merge_streams(frames, "ts", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and plan.count("SinglePartition") <= 2  # one row a range is carried in one task
+
+
+def test_deltas_and_other_scalars(spark):
+    from datetime import timedelta
+
+    assert values(spark, S.delta_interval("x"), rows=[1_500_000, -1_500_999]) == [timedelta(microseconds=1500), timedelta(microseconds=-1500)]
+    numbers = [i for i, p in enumerate(V.PUBLISHERS, 1) if p.startswith("IFEU.IMPACT.")]
+    assert values(spark, S.publishers_of(F.lit("IFEU.IMPACT")), rows=[0]) == [numbers]
+    assert values(spark, S.enum_code(F.lit("Pre_Open"), "status_action"), rows=[0]) == [1]
+    with pytest.raises(Exception, match="no such value"):
+        values(spark, S.enum_name(F.lit("?"), "side", strict=True), rows=[0])
