@@ -197,7 +197,8 @@ def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: in
     more = shared.where("rows > 2").select("token")
     postings, of_postings = counted(spread_where(table, token_filter(more)).join(more, "token").distinct(), "postings", rows=of_shared["more"])
     per_token = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
-    told = postings.join(per_token, "token")
+    # By a struct, so that the table of counts is shuffled once more, alone, and Spark can split the postings of a hot token.
+    told = postings.join(per_token.withColumnRenamed("token", "of"), F.struct(F.col("token").alias("of")) == F.struct("of")).drop("of")
     ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
     small = told.where(F.col("many") <= limit).join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
     pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "u bigint, v bigint").toDF("a", "b")
