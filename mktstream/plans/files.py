@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -27,9 +29,16 @@ TS = "epoch_us(ts) * 1000"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), for files that only this query reads."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/mktstream-files"
-    return f"{known.removeprefix('file://').rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), for files that only one query reads.
+
+    It has to be a mounted folder. Where the setting is unset a temporary folder is made, which only a local master may use.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="mktstream-")
+    return f"{re.sub('^file:/+', '/', known).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def with_layout(rows: DataFrame, layout: str, **values) -> DataFrame:

@@ -22,5 +22,7 @@ def test_query_matches_sql(spark, name, tmp_path):
     columns = sorted(r[0] for r in con.sql("DESCRIBE want").fetchall())
     assert columns == sorted(r[0] for r in con.sql(f"DESCRIBE SELECT * FROM '{out}/*.parquet'").fetchall())
     pick = ", ".join(columns)
+    kinds = [dict(con.sql(f"SELECT column_name, column_type FROM (DESCRIBE {q})").fetchall()) for q in ("want", f"SELECT * FROM '{out}/*.parquet'")]
+    assert kinds[0] == kinds[1]
     for a, b in (("want", f"'{out}/*.parquet'"), (f"'{out}/*.parquet'", "want")):
         assert con.sql(f"SELECT count(*) FROM (SELECT {pick} FROM {a} EXCEPT ALL SELECT {pick} FROM {b})").fetchall() == [(0,)]
