@@ -46,6 +46,8 @@ def test_native_queries_match_sql(spark, name, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     con.execute(f"CREATE TABLE want AS {entry.oracle_sql()[name]}")
     pick = ", ".join(sorted(r[0] for r in con.sql("DESCRIBE want").fetchall()))
+    kinds = [dict(con.sql(f"SELECT column_name, column_type FROM (DESCRIBE {q})").fetchall()) for q in ("want", f"SELECT * FROM '{tmp_path}/out/*.parquet'")]
+    assert kinds[0] == kinds[1]
     assert con.sql(f"SELECT count(*) FROM (SELECT {pick} FROM want EXCEPT ALL SELECT {pick} FROM '{tmp_path}/out/*.parquet')").fetchall() == [(0,)]
 
 
