@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructType
 from mktstream.functions.values import SCHEMA_RTYPE
 from mktstream.plans.metadata import DecodeError, Metadata, mappings_of_json
 from mktstream.plans.upgrade import POLICIES, check_policy, upgrade_columns
-from mktstream.sources.codec import CHUNK, Records, compressed, from_arrow, layout_of, mixed_batch, mixed_bytes, runs, to_arrow
+from mktstream.sources.codec import CHUNK, Gathered, Records, compressed, from_arrow, layout_of, mixed_batch, mixed_bytes, runs, to_arrow
 from mktstream.sources.layouts import KIND, layout_name, mixed_schema, rtype_of, schema_layout, spark_schema
 
 MIXED = "mixed"
@@ -79,10 +79,9 @@ class RecordDecoder:
 
     def batches(self, data: bytes, version: int | None, ts_out: bool, at: int, size: int = 0) -> tuple[list[pa.RecordBatch], int]:
         """Arrow batches of the whole records in data, and the bytes they take; data lies at byte `at` of its stream."""
-        out, used = [], 0
-        for run in runs(data):
-            offset, width, rtype, count = run
-            used = offset + width * count
+        records = Gathered(data)
+        layouts, wanted = {}, []
+        for g, (rtype, width, numbers) in enumerate(records.groups()):
             if size and width != size:
                 raise DecodeError(f"records of {size} and of {width} bytes in a file read as uniform")
             if self.rtype not in (None, rtype) or rtype not in KIND:
@@ -90,15 +89,19 @@ class RecordDecoder:
                     raise DecodeError(f"unexpected record type {rtype:#x}")
                 continue
             source = layout_of(rtype, width, version, ts_out)
-            if self.mixed:
-                batch = mixed_batch(data, run, layout_name(KIND[rtype], self.version), source, ts_out, self.schema, self.strict)
-            else:
-                columns = upgrade_columns(to_arrow(data, offset, count, source, ts_out, self.strict), KIND[rtype], source, self.layout)
-                batch = pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in self.schema], schema=self.schema)
-            if self.position:
-                batch = batch.append_column("position", pa.array(at + offset + width * np.arange(count, dtype=np.int64)))
-            out.append(batch.select(self.names))
-        return out, used
+            layouts[g] = source, self.layout or layout_name(KIND[rtype], self.version)
+            wanted.append((rtype, width, numbers, source))
+        out = []
+        if self.mixed and wanted:
+            numbers = np.sort(np.concatenate([w[2] for w in wanted]))
+            out.append((mixed_batch(records, layouts, ts_out, self.schema, self.strict), numbers))
+        for rtype, width, numbers, source in [] if self.mixed else wanted:
+            columns = to_arrow(records.bytes_of(numbers, width), 0, len(numbers), source, ts_out, self.strict)
+            columns = upgrade_columns(columns, KIND[rtype], source, self.layout)
+            out.append((pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(numbers), f.type)) for f in self.schema], schema=self.schema), numbers))
+        if self.position:
+            out = [(batch.append_column("position", pa.array(at + records.offsets[numbers])), numbers) for batch, numbers in out]
+        return [batch.select(self.names) for batch, _ in out], records.used
 
 
 class BinaryReader(DataSourceReader):

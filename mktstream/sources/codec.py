@@ -77,20 +77,54 @@ def runs(data: bytes | memoryview) -> list[tuple[int, int, int, int]]:
     view = np.frombuffer(data, np.uint8)
     out, at, n = [], 0, len(view)
     while at + 16 <= n:
-        size, rtype = int(view[at]) * 4, int(view[at + 1])
+        first, rtype = data[at], data[at + 1]
+        size = first * 4
         if size < 16:
             raise DecodeError(f"a record of {size} bytes")
-        most = (n - at) // size
+        most, count, probe = (n - at) // size, 1, 16
         if not most:
             break
-        heads = view[at : at + most * size].reshape(most, size)
-        same = (heads[:, 0] == view[at]) & (heads[:, 1] == rtype)
-        count = most if same.all() else int(same.argmin())
+        # Longer and longer stretches are compared at once, so neither one long run nor very many short ones take long.
+        while count < most:
+            next_ = at + count * size
+            if data[next_] != first or data[next_ + 1] != rtype:
+                break
+            k = min(probe, most - count)
+            heads = view[next_ : next_ + k * size].reshape(k, size)
+            same = (heads[:, 0] == first) & (heads[:, 1] == rtype)
+            if not same.all():
+                count += int(same.argmin())
+                break
+            count, probe = count + k, probe * 2
         out.append((at, size, rtype, count))
         at += size * count
     return out
 
 
+class Gathered:
+    """The whole records of some bytes by type and size: where each lies, in order, and the bytes that all take."""
+
+    def __init__(self, data: bytes):
+        found = runs(data)
+        self.data, self.n = data, sum(r[3] for r in found)
+        self.used = found[-1][0] + found[-1][1] * found[-1][3] if found else 0
+        self.offsets = np.concatenate([np.arange(o, o + size * n, size) for o, size, _, n in found]) if found else np.zeros(0, np.int64)
+        counts = [r[3] for r in found]
+        self.sizes, self.rtypes = np.repeat([r[1] for r in found], counts).astype(np.int64), np.repeat([r[2] for r in found], counts).astype(np.int64)
+
+    def groups(self) -> list[tuple[int, int, np.ndarray]]:
+        """(type, size, numbers of the records) of each type and size."""
+        keys = self.rtypes << 16 | self.sizes
+        return [(int(k >> 16), int(k & 0xFFFF), np.flatnonzero(keys == k)) for k in np.unique(keys)]
+
+    def bytes_of(self, numbers: np.ndarray, size: int) -> bytes:
+        """The records of the numbers, one behind the other."""
+        at = self.offsets[numbers]
+        if len(at) and at[-1] - at[0] == size * (len(at) - 1):
+            return self.data[at[0] : at[-1] + size]
+        return np.frombuffer(self.data, np.uint8)[at[:, None] + np.arange(size)].tobytes()
+
+
 def layout_of(rtype: int, size: int, version: int | None, ts_out: bool) -> str | None:
     """The layout of a type in a version, or the one that has this size; None for unknown types."""
     kind = KIND.get(rtype)
@@ -170,31 +204,56 @@ def from_arrow(batch: pa.RecordBatch, name: str, ts_out: bool = False) -> bytes:
     return rows.tobytes()
 
 
-def mixed_batch(data: bytes, run: tuple[int, int, int, int], layout: str, source: str, ts_out: bool, schema: pa.Schema, strict: bool = False) -> pa.RecordBatch:
-    """A run of records of one type as rows of a table of mixed types (layouts.mixed_schema)."""
-    offset, _, rtype, count = run
-    columns = upgrade_columns(to_arrow(data, offset, count, source, ts_out, strict), KIND[rtype], source, layout)
-    columns["index_ts"] = columns.get("ts_recv", columns["ts_event"])
-    own = schema.field(KIND[rtype]).type
-    columns[KIND[rtype]] = pa.StructArray.from_arrays([columns[f.name] for f in own], fields=list(own))
-    return pa.RecordBatch.from_arrays([columns.get(f.name, None) if f.name in (*HEADER, "index_ts", "ts_out", KIND[rtype]) else pa.nulls(count, f.type) for f in schema], schema=schema)
+def mixed_batch(records: Gathered, layouts: dict[int, tuple[str, str]], ts_out: bool, schema: pa.Schema, strict: bool = False) -> pa.RecordBatch:
+    """Records of several types as rows of a table of mixed types (layouts.mixed_schema), in their order.
+
+    layouts: by number of a group of records.groups() the layout they have and the one they get.
+    """
+    heads, places, structs = {c: [] for c in (*HEADER, "index_ts", *(["ts_out"] if ts_out else []))}, [], {}
+    for g, (rtype, size, numbers) in enumerate(records.groups()):
+        if g not in layouts:
+            continue
+        source, to = layouts[g]
+        columns = upgrade_columns(to_arrow(records.bytes_of(numbers, size), 0, len(numbers), source, ts_out, strict), KIND[rtype], source, to)
+        columns["index_ts"] = columns.get("ts_recv", columns["ts_event"])
+        for c, parts in heads.items():
+            parts.append(columns[c].cast(schema.field(c).type))
+        places.append(numbers)
+        own = schema.field(KIND[rtype]).type
+        structs.setdefault(KIND[rtype], []).append((numbers, pa.StructArray.from_arrays([columns[f.name] for f in own], fields=list(own))))
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
+    order, n = np.argsort(place, kind="stable"), len(place)
+    row_of = np.full(records.n, -1)
+    row_of[place[order]] = np.arange(n)
+    out = {c: pa.concat_arrays(parts).take(pa.array(order)) if parts else pa.nulls(0, schema.field(c).type) for c, parts in heads.items()}
+    for kind, parts in structs.items():
+        values = pa.concat_arrays([s for _, s in parts])
+        at = np.full(n, -1)
+        at[row_of[np.concatenate([numbers for numbers, _ in parts])]] = np.arange(len(values))
+        out[kind] = values.take(pa.array(at, mask=at < 0))
+    return pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def mixed_bytes(batch: pa.RecordBatch, version: int, ts_out: bool) -> bytes:
-    """The bytes of rows of a table of mixed types, run by run of one type."""
-    rtypes = np.asarray(batch.column("rtype"))
-    cuts = [0, *(np.flatnonzero(np.diff(rtypes)) + 1).tolist(), len(rtypes)]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        if a == b:
-            continue
-        part, kind = batch.slice(a, b - a), KIND[int(rtypes[a])]
-        own = part.column(kind)
-        columns = {c: part.column(c) for c in (*HEADER, *(["ts_out"] if ts_out else []))} | {f.name: own.field(i) for i, f in enumerate(own.type)}
-        # A slice of a struct array keeps its children whole.
-        columns = {c: v if len(v) == b - a else v.slice(own.offset, b - a) for c, v in columns.items()}
-        out.append(from_arrow(pa.RecordBatch.from_pydict(columns), layout_name(kind, version), ts_out))
-    return b"".join(out)
+    """The bytes of rows of a table of mixed types, in their order."""
+    rtypes = np.asarray(batch.column("rtype")).astype(np.int64)
+    kinds = [KIND[int(r)] for r in np.unique(rtypes)]
+    sizes, made = np.zeros(len(rtypes), np.int64), []
+    for kind in dict.fromkeys(kinds):
+        numbers = np.flatnonzero(np.isin(rtypes, [r for r, k in KIND.items() if k == kind]))
+        rows = batch.take(pa.array(numbers))
+        own = rows.column(kind)
+        columns = {c: rows.column(c) for c in (*HEADER, *(["ts_out"] if ts_out else []))} | {f.name: v for f, v in zip(own.type, own.flatten())}
+        name = layout_name(kind, version)
+        data = from_arrow(pa.RecordBatch.from_pydict(columns), name, ts_out)
+        size = LAYOUTS[name][0] + 8 * ts_out
+        sizes[numbers] = size
+        made.append((numbers, size, np.frombuffer(data, np.uint8).reshape(-1, size)))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for numbers, size, data in made:
+        out[starts[numbers][:, None] + np.arange(size)] = data
+    return out.tobytes()
 
 
 def compressed(data: bytes) -> bytes:

@@ -99,6 +99,8 @@ def test_unfinished_record_is_left():
     row = {c: pa.array([0 if str(k) != "string" else ""], pa.int64() if str(k) != "string" else pa.string()) for c, k in ((f.name, f.dataType.simpleString()) for f in spark_schema("ohlcv"))}
     data = from_arrow(pa.RecordBatch.from_pydict(row), "ohlcv") * 3
     assert [(r[0], r[1], r[3]) for r in runs(data[:-1])] == [(0, 56, 2)]
+    many, other = data * 50, bytes([4, 1]) + bytes(14)
+    assert [r[3] for r in runs(many + other + many[: 56 * 20] + other * 3)] == [150, 1, 20, 3]
     assert to_arrow(data, 0, 3, "ohlcv", False)["open"].to_pylist() == [0, 0, 0]
     assert compressed(data)
 
