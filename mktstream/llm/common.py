@@ -50,8 +50,9 @@ def conf_of(spark: SparkSession, settings: dict[str, str]):
 
 def small_batches(spark: SparkSession):
     """For many jobs over tables of their own: Python gets few rows at once, so texts and bitmaps take little memory on either
-    side, and the driver builds no broadcasts but those that are asked for."""
-    return conf_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1"})
+    side, the driver builds no broadcasts but those that are asked for, and a job's shuffle files go when it ends, not when the
+    driver's heap lets go of them: what is read again is written."""
+    return conf_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 #: How many rows a file of an intermediate table takes at least, where a bound of their number is known beforehand.
@@ -63,25 +64,41 @@ def few(df: DataFrame, rows: int | None, per_file: int = ROWS_PER_FILE) -> DataF
     return df if rows is None else df.coalesce(max(1, -(-rows // per_file)))
 
 
-def written(df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and the planner knows its real size.
 
     rows: what df has at most. Tables of few rows then take few files, however many partitions a shuffle has.
+    path: where earlier parts of the table lie; the table is then all of it.
     """
-    path = fresh_path(df.sparkSession, label)
-    few(df, rows, per_file).write.parquet(path)
+    path = path or fresh_path(df.sparkSession, label)
+    few(df, rows, per_file).write.mode("append").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
 
 
-def counted(df: DataFrame, label: str, *metrics: Column, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> tuple[DataFrame, dict]:
+def counted(df: DataFrame, label: str, *metrics: Column, rows: int | None = None, per_file: int = ROWS_PER_FILE, path: str | None = None) -> tuple[DataFrame, dict]:
     """written(), with the number of rows and further sums that are taken as the rows are written, without a job of their own."""
     seen = Observation()
-    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), label, rows, per_file)
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), label, rows, per_file, path)
     return table, seen.get
 
 
+def in_rounds(rounds: int, keys: list[str], of_share, label: str, *metrics: Column, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> tuple[DataFrame, dict]:
+    """counted() in so many rounds: of_share makes of a condition on the keys what holds for that share of them.
+
+    The shuffle files of a round go before the next, so the disk holds those of one.
+    """
+    table, sums = None, {}
+    for k in range(rounds):
+        share = F.pmod(F.xxhash64(*keys), F.lit(rounds)) == k if rounds > 1 else F.lit(True)
+        table, seen = counted(of_share(share), label, *metrics, rows=rows, per_file=per_file, path=None if table is None else table.written_to)
+        sums = {name: sums.get(name, 0) + n for name, n in seen.items()}
+        if rounds > 1:
+            tidy(table.sparkSession)
+    return table, sums
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove the files of tables from written() that nothing reads any more."""
     for table in tables:

@@ -17,11 +17,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mktstream.llm.common import broadcast_below, counted, dropped, few, free_names, planned_once, small_batches, tidy, written
+from mktstream.llm.common import broadcast_below, counted, dropped, few, free_names, in_rounds, planned_once, small_batches, tidy, written
 from mktstream.llm.graph import Forest, contracted, stars, with_roots
 from mktstream.llm.vectors import summed
 
@@ -36,6 +36,8 @@ SLICE = 256
 #: Up to so many sets are compared one by one rather than by a tree, and so many tested pairs are remembered.
 FEW, TESTED = 4, 300_000
 FILTER_BITS = 24
+#: Chunks that are compared take about so many bytes of bitmaps, or so many shingles of texts, to the disk at once, or four times the bitmaps of all chunks.
+ROUND_BYTES, ROUND_SHINGLES = 1 << 28, 1 << 26
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -183,7 +185,8 @@ def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: in
     none for each pair; the trees inside the block then see to the pairs. Smallest and largest are partial
     aggregates, and copies of a set have one sid, so a hot shingle comes to its task as a row from each task
     before. Rows of shingles of one or two sets don't travel again: a bit filter of fixed size leaves them
-    out before the second shuffle. tokens: how many rows the prefixes have in all.
+    out before the second shuffle. Bitmaps go only to sets that share the shingle with one whose size allows a link.
+    tokens: how many rows the prefixes have in all.
     """
     spread = table.select(F.explode("tokens").alias("token"), "sid")
     shared = spread.groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("tid"), F.count(F.lit(1)).alias("rows")).where("sid < tid")
@@ -200,7 +203,10 @@ def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: in
     # By a struct, so that the table of counts is shuffled once more, alone, and Spark can split the postings of a hot token.
     told = postings.join(per_token.withColumnRenamed("token", "of"), F.struct(F.col("token").alias("of")) == F.struct("of")).drop("of")
     ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
-    small = told.where(F.col("many") <= limit).join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
+    by_size, n = Window.partitionBy("token").orderBy("n"), F.col("n")
+    near = (F.lag("n").over(by_size) * rule.den >= n * rule.num) | (n * rule.den >= F.lead("n").over(by_size) * rule.num)
+    sized = told.where(F.col("many") <= limit).withColumn("near", near).where("near").select("token", "sid", "n")
+    small = sized.join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
     pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "u bigint, v bigint").toDF("a", "b")
     edges, _ = stars(pairs.unionAll(ties).unionAll(direct), rows=of_shared["rows"] + of_postings["rows"])
     dropped(shared, postings)
@@ -229,10 +235,7 @@ def candidate_pairs(rule: Rule):
     def pairs(sids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
         if len(sids) < 2:
             return []
-        arrays = [np.frombuffer(m, np.uint64) for m in maps]
-        words = min(map(len, arrays))
-        tree = SignatureTree(list(range(len(sids))), np.stack([folded(x, words) for x in arrays]), np.array(sizes))
-        return [(sids[i], sids[j]) for i, j in traverse(tree, tree, rule, list(range(len(sids))), lambda i, j: True)]
+        return [(sids[i], sids[j]) for i, j in pairs_by_width(sizes, [np.frombuffer(m, np.uint64) for m in maps], rule)]
 
     tested: set[tuple[int, int]] = set()
 
@@ -260,6 +263,31 @@ def candidate_pairs(rule: Rule):
     return run
 
 
+def pairs_by_width(sizes: list[int], maps: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of sets that may link, without those that connect nothing new.
+
+    Bitmaps of one width make a tree. Trees are compared where sizes allow a link, the wider bitmaps folded for that only: a
+    bitmap folded to the width of a far smaller set would be full, and would rule out nothing.
+    """
+    by_width: dict[int, list[int]] = {}
+    for i, m in enumerate(maps):
+        by_width.setdefault(len(m), []).append(i)
+
+    def tree(members: list[int], words: int) -> SignatureTree:
+        return SignatureTree(members, np.stack([folded(maps[i], words) for i in members]), np.array([sizes[i] for i in members]))
+
+    out, every = [], list(range(len(sizes)))
+    for words, members in sorted(by_width.items()):
+        own = tree(members, words)
+        out += traverse(own, own, rule, every, lambda i, j: True)
+        most = max(sizes[i] for i in members)
+        for wider in sorted(w for w in by_width if w > words):
+            reach = [i for i in by_width[wider] if most * rule.den >= rule.num * sizes[i]]
+            if reach:
+                out += traverse(own, tree(reach, words), rule, every, lambda i, j: True)
+    return out
+
+
 def pair_may_link(n: int, x: bytes, m: int, y: bytes, rule: Rule) -> bool:
     """The bound of may_link for two sets of n and m elements."""
     if n * rule.den < rule.num * m or m * rule.den < rule.num * n:
@@ -434,7 +462,7 @@ def links_across(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
 
 
 def candidates_across(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
-    """The keys of groups, with the sets of side 2 of which the bitmaps allow a link to a set of side 1 and of another component."""
+    """The keys of groups, with the sets of either side of which the bitmaps allow a link to a set of the other side and of another component."""
 
     def of_group(key: tuple, group: Iterable[tuple]) -> list[tuple]:
         sets, comps, sizes, maps, sides = map(list, zip(*group))
@@ -447,13 +475,15 @@ def candidates_across(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame
         found: set[int] = set()
 
         def linked(i: int, j: int) -> bool:
-            found.add(j)
+            # Trees over the narrowest bitmaps allow more than the pair's own ones.
+            if not (i in found and j in found) and pair_may_link(sizes[i], maps[i], sizes[j], maps[j], rule):
+                found.update((i, j))
             return False
 
         traverse(tree(left), tree(right), rule, comps, linked)
-        return [(*key, sets[j]) for j in sorted(found)]
+        return [(*key, sets[i], sizes[i], sides[i]) for i in sorted(found)]
 
-    return by_group(rows, keys, ["set", "comp", "n", "bits", "side"], of_group, "block bigint, band int, part int, rest_band int, rest_part int, set binary")
+    return by_group(rows, keys, ["set", "comp", "n", "bits", "side"], of_group, "block bigint, band int, part int, rest_band int, rest_part int, set binary, n bigint, side int")
 
 
 def similar(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -548,7 +578,8 @@ def large_stars(large: DataFrame, roots: DataFrame, told, rule: Rule, chunk: int
     with planned_once(large.sparkSession):
         joined = written(local_roots(told(heads, "comp", ["block", "part"], rows=of_heads["rows"]), ["block", "part"], rule), "roots", rows=of_heads["rows"], per_file=CHUNK)
 
-    now = written(relabelled(first, "comp", joined), "large", rows=rows, per_file=10_000)
+    bytes_ = F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes")
+    now, of_now = counted(relabelled(first, "comp", joined), "large", bytes_, rows=rows, per_file=10_000)
     by_component = now.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = by_component.groupBy("block").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
     rest = now.join(main, "block").where("comp <> main").drop("main")
@@ -556,7 +587,7 @@ def large_stars(large: DataFrame, roots: DataFrame, told, rule: Rule, chunk: int
     rest = rest.join(rest_parts, ["block", "band"]).withColumn("rest_part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
     rest, of_rest = counted(rest.select("block", "doc", "set", "n", "bits", "comp", F.col("band").alias("rest_band"), "rest_part"), "rest", rows=rows, per_file=10_000)
     before = now
-    links, of_links = links_of_rest(now, rest, told, rule, chunk, rows) if of_rest["rows"] else (None, {"rows": 0})
+    links, of_links = links_of_rest(now, rest, told, rule, chunk, rows, of_now["bytes"]) if of_rest["rows"] else (None, {"rows": 0})
     if of_links["rows"]:
         linked, _ = stars(links, rows=of_links["rows"])
         now = relabelled(now, "comp", linked.select("u", "v"))
@@ -566,24 +597,38 @@ def large_stars(large: DataFrame, roots: DataFrame, told, rule: Rule, chunk: int
     return done
 
 
-def links_of_rest(now: DataFrame, rest: DataFrame, told, rule: Rule, chunk: int, rows: int) -> tuple[DataFrame, dict]:
-    """Links (a, b) between components: step 3 of similar_sets."""
-    here = now.select("block", "band", "part").distinct()
-    there = rest.select("block", "rest_band", "rest_part").distinct()
+def links_of_rest(now: DataFrame, rest: DataFrame, told, rule: Rule, chunk: int, rows: int, bytes_: int) -> tuple[DataFrame, dict]:
+    """Links (a, b) between components: step 3 of similar_sets. bytes_: what the bitmaps of now take.
+
+    A chunk goes to as many groups as there are chunks of neighbouring size, so groups are dealt out over rounds, and the disk
+    holds one round. Texts follow of those sets only that the bitmaps leave, in rounds too.
+    """
+    here = now.groupBy("block", "band", "part").agg(F.sum(F.octet_length("bits")).alias("left_bytes"))
+    there = rest.groupBy("block", "rest_band", "rest_part").agg(F.sum(F.octet_length("bits")).alias("right_bytes"))
     # Sets that link lie at most one class apart, two with what rounding may add.
-    tasks, of_tasks = counted(here.join(there, "block").where("abs(band - rest_band) <= 2"), "tasks", rows=rows)
+    both = F.coalesce(F.sum(F.col("left_bytes") + F.col("right_bytes")), F.lit(0)).alias("bytes")
+    tasks, of_tasks = counted(here.join(there, "block").where("abs(band - rest_band) <= 2"), "tasks", both, rows=rows)
     keys, seen = ["block", "band", "part", "rest_band", "rest_part"], ["set", "comp", "n", "bits"]
-    left = now.join(tasks, ["block", "band", "part"]).select(*keys, *seen, F.lit(1).alias("side"))
-    right = rest.join(tasks, ["block", "rest_band", "rest_part"]).select(*keys, *seen, F.lit(2).alias("side"))
-    found, of_found = counted(candidates_across(left.unionAll(right), keys, rule), "candidates", rows=of_tasks["rows"], per_file=8)
+
+    def candidates(share: Column) -> DataFrame:
+        some = tasks.where(share).select(*keys)
+        left = now.join(some, ["block", "band", "part"]).select(*keys, *seen, F.lit(1).alias("side"))
+        right = rest.join(some, ["block", "rest_band", "rest_part"]).select(*keys, *seen, F.lit(2).alias("side"))
+        return candidates_across(left.unionAll(right), keys, rule)
+
+    rounds = max(1, math.ceil(of_tasks["bytes"] / max(ROUND_BYTES, 4 * bytes_)))
+    found, of_found = in_rounds(rounds, keys, candidates, "candidates", F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), rows=of_tasks["rows"], per_file=8)
     if not of_found["rows"]:
         return found, of_found
-    left = now.join(found.select(*keys).distinct(), ["block", "band", "part"]).select("doc", "set", "comp", *keys)
-    right = rest.join(found, ["block", "rest_band", "rest_part", "set"]).select("doc", "set", "comp", *keys)
-    left, of_left = counted(left, "left", rows=of_found["rows"] * chunk)
-    links = links_across(told(left, "comp", keys, 1, of_left["rows"]).unionAll(told(right, "comp", keys, 2, of_found["rows"])), keys, rule)
-    out = counted(links, "links", rows=of_left["rows"], per_file=chunk)
-    dropped(tasks, found, left)
+
+    def links(share: Column) -> DataFrame:
+        some = found.where(share).drop("n")
+        left = now.join(some.where("side = 1"), ["block", "band", "part", "set"]).select("doc", "set", "comp", *keys)
+        right = rest.join(some.where("side = 2"), ["block", "rest_band", "rest_part", "set"]).select("doc", "set", "comp", *keys)
+        return links_across(told(left, "comp", keys, 1, of_found["rows"]).unionAll(told(right, "comp", keys, 2, of_found["rows"])), keys, rule)
+
+    out = in_rounds(max(1, math.ceil(of_found["shingles"] / ROUND_SHINGLES)), keys, links, "links", rows=of_found["rows"], per_file=chunk)
+    dropped(tasks, found)
     return out
 
 

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,32 @@ def test_ngram_join_of_large_blocks(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, rule)
 
 
+def test_ngram_join_ties_no_unlike_sets_by_a_short_one():
+    """Unlike long sets that share a shingle with a short one make no block; those that link do, whatever the widths of their bitmaps."""
+    rng, rule = np.random.default_rng(3), ngram_join.Rule(4, 85, 100)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in [3, 20, *[1000 + i for i in range(40)], 130, 250, 2040]]
+    unlike = len(sets)
+    sets += [np.unique(np.concatenate([s[: len(s) * 96 // 100], rng.integers(0, 1 << 63, len(s) // 9, dtype=np.uint64)])) for s in sets[-3:] + sets[20:22]]
+    rows = [(7, i, len(s), ngram_join.bitmap(s, ngram_join.bits_for(len(s))).tobytes()) for i, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["token", "sid", "n", "bits"])
+    found = {tuple(sorted(e)) for b in ngram_join.candidate_pairs(rule)(iter([batch])) for e in zip(*[c.to_pylist() for c in b.columns])}
+    assert found == {(unlike - 3, unlike), (unlike - 2, unlike + 1), (unlike - 1, unlike + 2), (20, unlike + 3), (21, unlike + 4)}
+    assert len(rows[unlike - 2][3]) < len(rows[unlike + 1][3])
+
+
+def test_ngram_join_in_rounds(spark, monkeypatch):
+    """Chunks that are compared, or their texts, go to the disk a share at a time; shares together are the whole."""
+    asked, rounds = [], ngram_join.in_rounds
+    monkeypatch.setattr(ngram_join, "in_rounds", lambda n, keys, of_share, label, *a, **b: asked.append(label) or rounds(3, keys, of_share, label, *a, **b))
+    rng, rule = random.Random(8), ngram_join.Rule(4, 85, 100)
+    base = [f"w{i}" for i in range(110)]
+    rows = [(i, " ".join("x" + str(i) if k == i % 110 else w for k, w in enumerate(base))) for i in range(40)]
+    rows += [(i, " ".join(base[: rng.randrange(60, 95)] + [f"y{i}-{k}" for k in range(rng.randrange(3, 30))])) for i in range(40, 70)]
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id bigint, text string"), rule, chunk=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, rule)
+    assert "candidates" in asked
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
