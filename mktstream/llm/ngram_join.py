@@ -38,6 +38,8 @@ FEW, TESTED = 4, 300_000
 FILTER_BITS = 24
 #: Chunks that are compared take about so many bytes of bitmaps, or so many shingles of texts, to the disk at once, or four times the bitmaps of all chunks.
 ROUND_BYTES, ROUND_SHINGLES = 1 << 28, 1 << 26
+#: Bitmaps of postings take at most about so many bytes of the disk at once, or so many times the bitmaps of all sets.
+POSTING_BYTES, POSTING_TIMES = 1 << 30, 8
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -176,7 +178,7 @@ def spread_where(table: DataFrame, words: np.ndarray) -> DataFrame:
     return table.select("sid", "n", "tokens").mapInArrow(run, "token bigint, sid bigint, n bigint")
 
 
-def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: int) -> DataFrame:
+def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: int, bytes_: int) -> DataFrame:
     """Stars (u, v) of sids: sets that may link, directly or through others, lie under one v; others are left out.
 
     A prefix shingle of two sets is a pair at once. For one of more, a signature tree over the bitmaps of its
@@ -186,29 +188,40 @@ def blocks(table: DataFrame, sets: DataFrame, rule: Rule, limit: int, tokens: in
     aggregates, and copies of a set have one sid, so a hot shingle comes to its task as a row from each task
     before. Rows of shingles of one or two sets don't travel again: a bit filter of fixed size leaves them
     out before the second shuffle. Bitmaps go only to sets that share the shingle with one whose size allows a link.
-    tokens: how many rows the prefixes have in all.
+    Shingles are dealt out over rounds by a bound of the bitmaps that go, as more and more sets share one by chance as tables
+    grow. tokens: how many rows the prefixes have in all; bytes_: what the bitmaps of the sets take.
     """
     spread = table.select(F.explode("tokens").alias("token"), "sid")
     shared = spread.groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("tid"), F.count(F.lit(1)).alias("rows")).where("sid < tid")
     with planned_once(table.sparkSession):
         shared, of_shared = counted(shared, "shared-shingles", F.coalesce(F.sum(F.when(F.col("rows") > 2, F.col("rows"))), F.lit(0)).alias("more"), rows=tokens)
-    two = shared.where("rows = 2").select("sid", "tid").distinct()
+    more = shared.where("rows > 2").select("token")
+    size = F.coalesce(F.sum(F.least(F.col("n") / 2, F.lit(MOST_BITS // 8))), F.lit(0)).cast("long").alias("bytes")
+    postings, of_postings = counted(spread_where(table, token_filter(more)).join(more, "token").distinct(), "postings", size, rows=of_shared["more"])
     bits = sets.select("sid", "n", "bits")
-    other = bits.toDF("tid", "m", "other")
-    direct = two.join(bits, "sid").join(other, "tid").select("sid", "n", "bits", "tid", "m", "other").mapInArrow(direct_pairs(rule), "u bigint, v bigint").toDF("a", "b")
 
-    more = shared.where("rows > 2").select("token")
-    postings, of_postings = counted(spread_where(table, token_filter(more)).join(more, "token").distinct(), "postings", rows=of_shared["more"])
-    per_token = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
-    # By a struct, so that the table of counts is shuffled once more, alone, and Spark can split the postings of a hot token.
-    told = postings.join(per_token.withColumnRenamed("token", "of"), F.struct(F.col("token").alias("of")) == F.struct("of")).drop("of")
-    ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
-    by_size, n = Window.partitionBy("token").orderBy("n"), F.col("n")
-    near = (F.lag("n").over(by_size) * rule.den >= n * rule.num) | (n * rule.den >= F.lead("n").over(by_size) * rule.num)
-    sized = told.where(F.col("many") <= limit).withColumn("near", near).where("near").select("token", "sid", "n")
-    small = sized.join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
-    pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "u bigint, v bigint").toDF("a", "b")
-    edges, _ = stars(pairs.unionAll(ties).unionAll(direct), rows=of_shared["rows"] + of_postings["rows"])
+    def links(share: Column) -> DataFrame:
+        two = shared.where("rows = 2").where(share).select("sid", "tid").distinct()
+        direct = two.join(bits, "sid").join(bits.toDF("tid", "m", "other"), "tid").select("sid", "n", "bits", "tid", "m", "other").mapInArrow(direct_pairs(rule), "u bigint, v bigint").toDF("a", "b")
+        some = postings.where(share)
+        per_token = some.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("sid").alias("a"))
+        # By a struct, so that the table of counts is shuffled once more, alone, and Spark can split the postings of a hot token.
+        told = some.join(per_token.withColumnRenamed("token", "of"), F.struct(F.col("token").alias("of")) == F.struct("of")).drop("of")
+        ties = told.where((F.col("many") > limit) & (F.col("sid") != F.col("a"))).select("a", F.col("sid").alias("b"))
+        by_size, n = Window.partitionBy("token").orderBy("n"), F.col("n")
+        near = (F.lag("n").over(by_size) * rule.den >= n * rule.num) | (n * rule.den >= F.lead("n").over(by_size) * rule.num)
+        sized = told.where(F.col("many") <= limit).withColumn("near", near).where("near").select("token", "sid", "n")
+        small = sized.join(bits.drop("n"), "sid").select("token", "sid", "n", "bits")
+        pairs = small.repartition("token").sortWithinPartitions("token").mapInArrow(candidate_pairs(rule), "u bigint, v bigint").toDF("a", "b")
+        return pairs.unionAll(ties).unionAll(direct)
+
+    rows, rounds = of_shared["rows"] + of_postings["rows"], max(1, math.ceil(of_postings["bytes"] / max(POSTING_BYTES, POSTING_TIMES * bytes_)))
+    if rounds == 1:
+        edges, _ = stars(links(F.lit(True)), rows=rows)
+    else:
+        found, of_found = in_rounds(rounds, ["token"], links, "pairs", rows=rows)
+        edges, _ = stars(found, rows=of_found["rows"])
+        dropped(found)
     dropped(shared, postings)
     return edges
 
@@ -517,8 +530,9 @@ def _similar_sets(rows: DataFrame, rule: Rule, chunk: int) -> DataFrame:
     table, of_table = counted(signatures(rows, counts, rule, "doc", "text"), "signatures", *sums)
     named = table.where("doc is not null and n > 0")
     with planned_once(rows.sparkSession):
-        sets, of_sets = counted(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets", rows=of_table["rows"], per_file=10_000)
-    edges = blocks(named, sets, rule, chunk, of_table["tokens"])
+        bytes_ = F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes")
+        sets, of_sets = counted(named.groupBy("set", "sid", "n").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits")), "sets", bytes_, rows=of_table["rows"], per_file=10_000)
+    edges = blocks(named, sets, rule, chunk, of_table["tokens"], of_sets["bytes"])
     block = with_roots(edges).select(F.col("node").alias("sid"), F.col("label").alias("block"))
     step = F.floor(F.ln("n") / F.lit(math.log(rule.den / rule.num))).cast("int")
     members = sets.join(block, "sid").select("set", "doc", "n", "bits", "block", step.alias("class"))

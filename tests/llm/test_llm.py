@@ -128,16 +128,18 @@ def test_ngram_join_ties_no_unlike_sets_by_a_short_one():
 
 
 def test_ngram_join_in_rounds(spark, monkeypatch):
-    """Chunks that are compared, or their texts, go to the disk a share at a time; shares together are the whole."""
+    """Postings with bitmaps, chunks that are compared and their texts go to the disk a share at a time; shares together are the whole."""
     asked, rounds = [], ngram_join.in_rounds
     monkeypatch.setattr(ngram_join, "in_rounds", lambda n, keys, of_share, label, *a, **b: asked.append(label) or rounds(3, keys, of_share, label, *a, **b))
+    monkeypatch.setattr(ngram_join, "POSTING_BYTES", 1)
+    monkeypatch.setattr(ngram_join, "POSTING_TIMES", 0)
     rng, rule = random.Random(8), ngram_join.Rule(4, 85, 100)
     base = [f"w{i}" for i in range(110)]
     rows = [(i, " ".join("x" + str(i) if k == i % 110 else w for k, w in enumerate(base))) for i in range(40)]
     rows += [(i, " ".join(base[: rng.randrange(60, 95)] + [f"y{i}-{k}" for k in range(rng.randrange(3, 30))])) for i in range(40, 70)]
     got = ngram_join.similar(spark.createDataFrame(rows, "doc_id bigint, text string"), rule, chunk=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, rule)
-    assert "candidates" in asked
+    assert {"pairs", "candidates"} <= set(asked)
 
 
 def test_components(spark):
