@@ -278,6 +278,22 @@ def test_running_values_in_many_ranges(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_a_frequent_first_value_is_cut_further(spark):
+    """Nearly all rows of a merge can have one key; their numbering isn't one task."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    hot = 1_704_067_200_000_000_123 - 2**63
+    frame = spark.range(8000).selectExpr(f"IF(id % 20 = 0, id, 0) + {hot} AS __key", "CAST(id % 2 AS INT) AS __stream", "id * 7919 % 8000 AS __position")
+    rows = running.numbered(frame, "n", ["__key", "__stream", "__position"]).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((r["__key"], r["__stream"], r["__position"]) for r in rows)
+    assert [(r["__key"], r["__stream"], r["__position"]) for r in sorted(rows, key=lambda r: r.n)] == want and [r.n for r in sorted(rows, key=lambda r: r.n)] == list(range(1, 8001))
+    sizes = {t: sum(r.task == t for r in rows) for t in {r.task for r in rows}}
+    assert max(sizes.values()) < 8000 * 6 // 16
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_mixed_rows_of_one_kind(spark, tmp_path):
     path = file_of(tmp_path / "x", [*mbo(2), control(1, "a")], META)
     rows = filters.of_kind(load(spark, path, "mixed"), "mbo")
