@@ -7,7 +7,8 @@ ts_out (of records without metadata; without input_version the version is told f
 (sniffed); compression (sniffed: none or zstd); on_mismatch (skip or error: records of another type); strict (false:
 texts without end or that aren't UTF-8 are empty, else an error); position (false, or true: a column with the byte
 at which the record lies, by which a stream's order can be restored); uniform (false, or true if an uncompressed
-file holds records of one type only) and slice_bytes (64 MiB: the part of such a file that one task reads).
+file holds records of one type only) and slice_bytes (64 MiB: the least part of an uncompressed file that one task
+reads; less than 64 MiB grow towards them as a file would else be more than MOST_SLICES tasks).
 
 Options for writing: schema, dataset, start, end, limit, stype_in, stype_out, symbols (JSON list), mappings (JSON,
 see mappings_of_json), version, ts_out, mode (`file` with metadata or `fragment`), compression (none or zstd).
@@ -35,6 +36,9 @@ from mktstream.sources.codec import CHUNK, Gathered, Records, compressed, from_a
 from mktstream.sources.layouts import KIND, layout_name, mixed_schema, rtype_of, schema_layout, spark_schema
 
 MIXED = "mixed"
+SLICE = 64 << 20
+#: So many tasks read a file at most, unless each of them reads SLICE bytes.
+MOST_SLICES = 512
 
 
 def files_of(path: str) -> list[str]:
@@ -120,17 +124,22 @@ class BinaryReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.none:
             return []
-        width, out = int(self.options.get("slice_bytes", 64 << 20)), []
+        width, out = int(self.options.get("slice_bytes", SLICE)), []
         for path in files_of(self.options["path"]):
             with open(path, "rb") as f:
                 records = Records(f, self.options)
                 head = records.stream.peek(1)[:1]
-            size = head[0] * 4 if head else 0
-            if records.compressed or size < 16 or not flag(self.options, "uniform"):
-                out.append(Slice(path, records.start, None, records.version, records.ts_out))
-                continue
-            step, total = max(size, width // size * size), os.path.getsize(path)
-            out += [Slice(path, a, min(a + step, total), records.version, records.ts_out, size) for a in range(records.start, total, step)]
+                size, total = head[0] * 4 if head else 0, os.path.getsize(path)
+                if records.compressed or size < 16:
+                    out.append(Slice(path, records.start, None, records.version, records.ts_out))
+                    continue
+                step = max(width, min(SLICE, -(-total // MOST_SLICES)))
+                if flag(self.options, "uniform"):
+                    step = max(size, step // size * size)
+                    starts = list(range(records.start, total, step))
+                else:
+                    size, starts = 0, [records.start]
+            out += [Slice(path, a, b, records.version, records.ts_out, size) for a, b in zip(starts, [*starts[1:], total])]
         return out
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:

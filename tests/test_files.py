@@ -294,6 +294,12 @@ def test_a_frequent_first_value_is_cut_further(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_small_slices_of_a_large_file_are_few_tasks(spark, tmp_path):
+    path = file_of(tmp_path / "x", mbo(3) * 1000)
+    rows = load(spark, path, uniform="true", slice_bytes="56")
+    assert rows.rdd.getNumPartitions() <= 600 and rows.count() == 3000
+
+
 def test_mixed_rows_of_one_kind(spark, tmp_path):
     path = file_of(tmp_path / "x", [*mbo(2), control(1, "a")], META)
     rows = filters.of_kind(load(spark, path, "mixed"), "mbo")
