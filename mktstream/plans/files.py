@@ -71,6 +71,13 @@ def loaded(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     return spark.read.format("mktbin").options(schema=schema, **options).load(path)
 
 
+def held(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows from a table in the shared folder, for plans that go over them several times: the source gives all columns and decodes anew each time."""
+    path = scratch(spark)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 BOOK_SQL = f"""SELECT event_id AS order_id, {TS} AS ts_recv, {TS} - 1000 AS ts_event, user_id AS instrument_id, {PRICE} AS price, event_id % 1000 AS size,
   CAST(event_id % 256 AS SMALLINT) AS flags, CASE event_type WHEN 'click' THEN 'A' ELSE 'T' END AS action, CAST(-(event_id % 500) AS INTEGER) AS ts_in_delta FROM events"""
 BOOK = ["order_id", "ts_recv", "ts_event", "instrument_id", "price", "size", "flags", "action", "ts_in_delta"]
@@ -169,6 +176,7 @@ def mixed_merge(spark: SparkSession, d: str) -> DataFrame:
     a = loaded(spark, written(spark, mixed(spark, d), "mixed", "event_id"), "mixed", position="true")
     status = with_layout(R.statuses(spark, d).withColumn("sequence", F.col("o_orderkey")), "status", ts_event=F.col("ts_recv"), publisher_id=F.lit(2), action=F.lit(7), is_trading=F.lit("Y"))
     b = loaded(spark, written(spark, status, "status", "ts_recv"), "mixed", position="true")
+    a, b = (held(spark, rows.select("rtype", "index_ts", "position")) for rows in (a, b))
     whole = merge_streams([a, b], "index_ts", "position", ordered=False)
     return numbered(whole, "pos", ["__key", "__stream", "__position"]).select("pos", F.col("__stream").alias("stream"), "rtype", "index_ts")
 

@@ -17,6 +17,7 @@ see mappings_of_json), version, ts_out, mode (`file` with metadata or `fragment`
 from __future__ import annotations
 
 import glob
+import io
 import json
 import os
 import uuid
@@ -70,6 +71,32 @@ class Slice(InputPartition):
         self.path, self.start, self.end, self.version, self.ts_out, self.size = path, start, end, version, ts_out, size
 
 
+def slice_starts(f: io.BufferedReader, start: int, step: int) -> list[int]:
+    """Where the slices of a file begin, each at a record and step bytes or a little more behind the last.
+
+    Sizes are followed from record to record. What can't be followed is left to the last slice, whose task says so.
+    """
+    out, base, at, goal = [start], start, 0, start + step
+    f.seek(start)
+    while data := f.read(CHUNK):
+        view = np.frombuffer(data, np.uint8)
+        while at < len(data):
+            stop = min(len(data), goal - base)
+            first = data[at]
+            count = -(-(stop - at) // max(16, first * 4))
+            if first >= 4 and (view[at : at + (count - 1) * first * 4 + 1 : first * 4] == first).all():
+                at += count * first * 4
+            while at < stop:
+                if data[at] < 4:
+                    return out
+                at += data[at] * 4
+            if base + at >= goal:
+                out.append(base + at)
+                goal = base + at + step
+        base, at = base + len(data), at - len(data)
+    return [a for a in out if a < base]
+
+
 class RecordDecoder:
     def __init__(self, options: dict, schema: StructType):
         self.mixed = options["schema"] == MIXED
@@ -138,7 +165,7 @@ class BinaryReader(DataSourceReader):
                     step = max(size, step // size * size)
                     starts = list(range(records.start, total, step))
                 else:
-                    size, starts = 0, [records.start]
+                    size, starts = 0, slice_starts(f, records.start, step)
             out += [Slice(path, a, b, records.version, records.ts_out, size) for a, b in zip(starts, [*starts[1:], total])]
         return out
 

@@ -294,6 +294,44 @@ def test_a_frequent_first_value_is_cut_further(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_files_of_several_types_are_read_in_slices(spark, tmp_path):
+    records = [x for i in range(40) for x in (*mbo(i % 4 + 1), control(i, f"text {i}"))]
+    path = file_of(tmp_path / "x", records, META)
+    rows = load(spark, path, "mixed", position="true", slice_bytes="1000")
+    whole = load(spark, path, "mixed", position="true")
+    assert rows.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+    assert sorted(rows.collect(), key=lambda r: r.position) == sorted(whole.collect(), key=lambda r: r.position) and rows.count() == len(records)
+    (tmp_path / "y").write_bytes((tmp_path / "x").read_bytes()[:-3])
+    assert load(spark, str(tmp_path / "y"), "mixed", slice_bytes="1000").count() == len(records) - 1
+    (tmp_path / "z").write_bytes((tmp_path / "x").read_bytes() + bytes(16))
+    with pytest.raises(Exception, match="a record of 0 bytes"):
+        load(spark, str(tmp_path / "z"), "mixed", slice_bytes="1000").count()
+
+
+def test_a_mixed_merge_decodes_its_files_once(spark):
+    from mktstream.plans.files import mixed_merge
+
+    plan = mixed_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "mktbin" not in plan and "BatchScan" not in plan
+
+
+def test_starts_of_slices_follow_the_records(tmp_path, monkeypatch):
+    from mktstream.sources import binary
+
+    monkeypatch.setattr(binary, "CHUNK", 100)
+    for records in (mbo(30), [x for i in range(20) for x in (*mbo(i % 3), control(i, "x"))]):
+        known, at = set(), 0
+        for r in records:
+            known.add(at)
+            at += len(bytes(r))
+        path = file_of(tmp_path / "x", records)
+        with open(path, "rb") as f:
+            for step in (1, 57, 400, 10**6):
+                starts = binary.slice_starts(f, 0, step)
+                assert starts[0] == 0 and set(starts) <= known and starts == sorted(set(starts))
+                assert all(step <= b - a < step + 1020 for a, b in zip(starts, starts[1:])) and (step > 1 or set(starts) == known)
+
+
 def test_small_slices_of_a_large_file_are_few_tasks(spark, tmp_path):
     path = file_of(tmp_path / "x", mbo(3) * 1000)
     rows = load(spark, path, uniform="true", slice_bytes="56")
